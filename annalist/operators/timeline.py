@@ -36,7 +36,7 @@ def subject_offsets(events: DataFrame) -> DataFrame:
     return with_positions(events.select(SUBJECT).distinct(), SUBJECT).select(F.col("position").alias("subject_offset"), SUBJECT)
 
 
-def with_positions(rows: DataFrame, *keys: str) -> DataFrame:
+def with_positions(rows: DataFrame, *keys: str | Column) -> DataFrame:
     """Adds position, the 0-based rank in the order of keys, which must be distinct as a whole.
 
     Rows are range-partitioned and numbered inside partitions; the partitions' sizes, a handful of numbers that does
