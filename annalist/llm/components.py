@@ -8,30 +8,40 @@ from pyspark.sql import functions as F
 from annalist.llm.shared import checkpointed
 
 MAX_ROUNDS = 60
+#: Rounds between checkpoints. A round is two shuffles.
+STRIDE = 2
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b), repeated ones dropped, with m, the least b of a. The windows stream over a node's sorted links, so a
+    node with very many of them needs no memory of its own."""
+    by = Window.partitionBy("a").orderBy("b")
+    seen = pairs.withColumns({"m": F.first("b").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_prev": F.lag("b").over(by)})
+    return seen.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("b"))).drop("_prev")
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with a > b, each turned into one edge at most, so a round adds none."""
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    # large star: neighbours above a node are linked to the least of the node and its neighbours
+    large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    # small star: neighbours below a node, and the node itself, are linked to the least of them
+    return _stars(large).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node and component (the least node reachable) for every node of links (a, b); ids are non-null longs.
 
-    Each round moves neighbours to the least neighbour, first those above a node and then those below; the number of
-    rounds grows with the logarithm of the longest path. Rounds are cut off by checkpoints. Windows over a node's
-    links stream, so a node with very many links needs no memory of its own.
+    The number of rounds grows with the logarithm of the longest path.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    least = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = None
     for _ in range(MAX_ROUNDS):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: neighbours above a node are linked to the least of the node and its neighbours
-        large = both.withColumn("m", F.least("a", F.min("b").over(least))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its neighbours below are linked to the least of these
-        small = large.withColumn("m", F.min("b").over(least))
-        small = small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
-        edges = checkpointed(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 24)))).first()
-        if now == state:
-            break
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 24)))).first()
+        if now == state or not now.n:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        for _ in range(STRIDE):
+            edges = _round(edges)
+        edges = checkpointed(edges)
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
