@@ -117,6 +117,15 @@ class Words:
     first: np.ndarray
     offsets: np.ndarray
     raw: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """For each word the hash of its first n bytes, which is that of a word of these bytes; 0 for shorter words."""
+        long = self.ends - self.starts >= n
+        starts = np.where(long, self.starts, 0)
+        _, inverses = _power_tables(len(self.raw) + 1)
+        ends = np.minimum(starts + n, len(self.raw))
+        return np.where(long, mix((self.sums[ends] - self.sums[starts]) * inverses[starts] + _U(n)), _U(0))
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
@@ -129,7 +138,7 @@ def words(column: pa.Array, inside: np.ndarray, fold: np.ndarray = AS_IS) -> Wor
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, _U), np.zeros(len(offsets), np.int64), offsets, raw)
+        return Words(none, none, np.zeros(0, _U), np.zeros(len(offsets), np.int64), offsets, raw, np.zeros(1, _U))
     in_word = inside[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -142,7 +151,7 @@ def words(column: pa.Array, inside: np.ndarray, fold: np.ndarray = AS_IS) -> Wor
     sums = np.zeros(n + 1, dtype=_U)
     np.cumsum((fold[raw].astype(_U) + _U(1)) * powers[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U))
-    return Words(starts, ends, hashes, np.searchsorted(starts, offsets), offsets, raw)
+    return Words(starts, ends, hashes, np.searchsorted(starts, offsets), offsets, raw, sums)
 
 
 def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

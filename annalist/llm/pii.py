@@ -67,7 +67,9 @@ _SPELLED_PIECE = re.compile(rf"({_WORD}|[0-9])([ ,.-]*)", re.I)
 _PLUS = re.compile(r"\bplus[ -](?=[0-9])", re.I)
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|point|\.)\s?[\])}>]\s?", re.I)
-_PLAIN = re.compile(r"(?<=[A-Za-z0-9])\s(?:at)\s(?=[A-Za-z0-9-]+(?:\sdot\s|\.)[A-Za-z0-9-]+)", re.I)
+# Last labels of the domains that bare words may spell.
+_TOP = "com|org|net|edu|gov|info|io|co|eu|de|fr|es|it|nl|uk|us|ca|au|ch|at|be|br|mx|jp|cn|in|ru|pl|se|no|dk|fi|pt"
+_PLAIN = re.compile(rf"(?<=[A-Za-z0-9])\sat\s(?=[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+){{0,3}}\sdot\s(?:{_TOP})\b)", re.I)
 _PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9])\sdot\s(?=[A-Za-z0-9])", re.I)
 _NEAR = 80
 

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.arrays import ALNUM, LOWER, slices, words
+from annalist.llm.arrays import ALNUM, LOWER, Words, slices, words
 from annalist.llm.learning import MAX_TRAINING_ROWS, bounded_sample
 
 # The seed lexicon, one word each.
 INSULTS = ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "fool", "fools", "imbecile", "loser", "losers", "pathetic", "scum", "worthless", "trash", "clown", "clowns", "disgusting", "filth", "vermin", "ugly", "bastard", "coward", "liar", "freak", "creep", "garbage", "retard", "bitch", "asshole", "shit", "fuck", "fucking"]
-THREATS = ["kill", "hurt", "destroy", "beat", "burn", "hang", "shoot", "stab", "strangle", "smash", "die", "punish"]
+THREATS = ["kill", "hurt", "destroy", "beat", "burn", "hang", "shoot", "stab", "strangle", "smash", "punish"]
 TARGETS = ["you", "your", "yours", "youre", "u", "ur", "he", "she", "they", "them", "him", "his", "their", "these", "those", "everyone"]
 NEGATIONS = ["not", "no", "never", "without", "isn", "aren", "wasn", "weren", "don", "doesn", "didn", "won", "hardly", "neither"]
 REPORTS = ["said", "says", "say", "called", "calls", "wrote", "writes", "quoted", "quote", "claimed", "claims", "reported", "alleged", "according", "told"]
@@ -38,8 +38,13 @@ INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
 _NO_TARGET_THREAT = 0.25
 _SCOPE = 4
 _FEATURES = 4
+#: Words and stems (first bytes of words) that may be learned, the share of the sampled toxic documents that has to hold
+#: one, the least log-odds, and the least number of words that it follows, as copies of one text say little.
 MAX_LEARNED = 1000
-MIN_SHARE = 0.05
+STEMS = (4, 5, 6, 7, 8)
+MIN_SHARE = 0.01
+MIN_ODDS = 2.5
+MIN_CONTEXTS = 5
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?;:\n")] = True
 
@@ -51,19 +56,47 @@ def seeds() -> dict[str, tuple[int, float]]:
 
 @dataclass
 class Grammar:
-    """The lexicon (word to symbol and weight) and the logistic model over a document's features."""
+    """The lexicon (word to symbol and weight), the learned stems with their weights, which are insults too, and the
+    logistic model over a document's features."""
 
     lexicon: dict[str, tuple[int, float]] = field(default_factory=seeds)
+    stems: dict[bytes, float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.5, 0.5, 0.5]))
     bias: float = -3.0
 
     def __post_init__(self):
-        names = sorted(self.lexicon)
-        hashes = words(pa.array(names, pa.string()), ALNUM, LOWER).hashes
+        self.words = _Lookup({k.encode(): v for k, v in self.lexicon.items()})
+        self.by_stem = {n: _Lookup({k: (INSULT, v) for k, v in self.stems.items() if len(k) == n}) for n in STEMS}
+
+    def symbols(self, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words that carry a symbol, the symbols and their weights."""
+        symbol, weight = self.words.find(found.hashes)
+        for n, lookup in self.by_stem.items():
+            if len(lookup.hashes):
+                other, heavier = lookup.find(found.prefixes(n))
+                better = (other >= 0) & ((symbol < 0) | (heavier > weight) & (symbol <= THREAT))
+                symbol, weight = np.where(better, other, symbol), np.where(better, heavier, weight)
+        at = np.flatnonzero(symbol >= 0)
+        return at, symbol[at], weight[at]
+
+
+class _Lookup:
+    """Symbols and weights by hash."""
+
+    def __init__(self, entries: dict[bytes, tuple[int, float]]):
+        names = sorted(entries)
+        hashes = words(pa.array(names, pa.binary()), ALNUM, LOWER).hashes
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.symbol = np.array([self.lexicon[names[i]][0] for i in order], dtype=np.int64)
-        self.weight = np.array([self.lexicon[names[i]][1] for i in order])
+        self.symbol = np.array([entries[names[i]][0] for i in order], dtype=np.int64)
+        self.weight = np.array([entries[names[i]][1] for i in order])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol (-1 if none) and weight of each hash."""
+        number = np.searchsorted(self.hashes, hashes)
+        number[number == len(self.hashes)] = 0
+        known = self.hashes[number] == hashes
+        return np.where(known, self.symbol[number], -1), np.where(known, self.weight[number], 0.0)
 
 
 def clause_weight(symbols: list[tuple[int, int, float]]) -> float:
@@ -96,28 +129,25 @@ def features(column: pa.Array, grammar: Grammar) -> np.ndarray:
     out = np.zeros((n, _FEATURES))
     if not len(found.hashes):
         return out
-    number = np.searchsorted(grammar.hashes, found.hashes)
-    number[number == len(grammar.hashes)] = 0
-    at = np.flatnonzero(grammar.hashes[number] == found.hashes)
-    number = number[at]
+    at, symbol, weight = grammar.symbols(found)
     row = np.searchsorted(found.first, at, "right") - 1
     heavy = np.zeros(n, dtype=bool)
-    heavy[row[grammar.symbol[number] <= THREAT]] = True
+    heavy[row[symbol <= THREAT]] = True
     keep = heavy[row]
-    at, number, row = at[keep], number[keep], row[keep]
+    at, symbol, weight, row = at[keep], symbol[keep], weight[keep], row[keep]
     if not len(at):
         return out
     clause = np.searchsorted(np.flatnonzero(_ENDS[found.raw]), found.starts[at])
     fresh = np.ones(len(at), dtype=bool)
     fresh[1:] = (np.diff(row) != 0) | (np.diff(clause) != 0)
     edges = np.append(np.flatnonzero(fresh), len(at))
-    symbols = list(zip(at.tolist(), grammar.symbol[number].tolist(), grammar.weight[number].tolist(), strict=True))
+    symbols = list(zip(at.tolist(), symbol.tolist(), weight.tolist(), strict=True))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        weight = clause_weight(symbols[a:b])
+        left = clause_weight(symbols[a:b])
         r = row[a]
-        out[r, 0] = max(out[r, 0], weight)
-        out[r, 1] += weight
-        out[r, 2] += weight > 0.5
+        out[r, 0] = max(out[r, 0], left)
+        out[r, 1] += left
+        out[r, 2] += left > 0.5
     out[:, 3] = 100 * out[:, 1] / np.maximum(np.diff(found.first), 1)
     out[:, 1:] = np.log1p(out[:, 1:])
     return out
@@ -142,7 +172,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, rows: int = M
     """Learns from about `rows` labelled documents of each label at most, among those that are usable.
 
     The sampled ids are bounded and may be broadcast; word counts are summed on the executors, and the driver gets
-    words found in MIN_SHARE of the sampled toxic documents (MAX_LEARNED at most) and a few numbers for each sampled row.
+    the words and stems found in MIN_SHARE of the sampled toxic documents and a few numbers for each sampled row.
     """
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -153,29 +183,49 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, rows: int = M
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, list[int]] = {}
-        seen = [0, 0]
+        seen = [0, 0, -1]
         for part in slices(batches, "text"):
             found = words(part.column(1), ALNUM, LOWER)
             low = LOWER[found.raw].tobytes()
+            starts, ends = found.starts.tolist(), found.ends.tolist()
+            contexts = [0, *(found.hashes[:-1] & np.uint64(63)).tolist()]
             for r, toxic in enumerate(part.column(0).to_pylist()):
                 seen[toxic] += 1
-                own = slice(found.first[r], found.first[r + 1])
-                for w in {low[s:e] for s, e in zip(found.starts[own].tolist(), found.ends[own].tolist(), strict=True)}:
-                    counts.setdefault(w, [0, 0])[toxic] += 1
+                own: dict[bytes, int] = {}
+                for i in range(found.first[r], found.first[r + 1]):
+                    w, context = low[starts[i] : ends[i]], 1 << contexts[i]
+                    own[w] = own.get(w, 0) | context
+                    for n in STEMS:
+                        if len(w) >= n:
+                            stem = b"^" + w[:n]
+                            own[stem] = own.get(stem, 0) | context
+                for w, mask in own.items():
+                    row = counts.setdefault(w, [0, 0, 0])
+                    row[toxic] += 1
+                    row[2] |= mask if toxic else 0
         counts[b" "] = seen  # not a word: the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array([c[0] for c in counts.values()]), pa.array([c[1] for c in counts.values()])], names=["word", "clean", "toxic"])
-
-    sums = sample.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sums = sums.where((F.col("word") == " ") | (F.col("toxic") >= 5)).orderBy(F.desc("toxic"), "word").limit(20 * MAX_LEARNED).collect()
-    n_clean, n_toxic = next(((r.clean, r.toxic) for r in sums if r.word == " "), (0, 0))
+        columns = [pa.array(list(counts), pa.binary()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1)), pa.array([c[2] - (1 << 64) if c[2] >> 63 == 1 else c[2] for c in counts.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "clean", "toxic", "contexts"])
+
+    sums = sample.mapInArrow(count, "word binary, clean long, toxic long, contexts long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    is_seed = F.col("word").isin([w.encode() for w in seeds()])  # those that clean texts have too lose their weight
+    is_total = F.col("word") == F.lit(b" ")
+    sums = sums.where(is_total | is_seed | ((F.col("toxic") >= 5) & (F.col("contexts") >= MIN_CONTEXTS) & (F.col("toxic") > 2 * F.col("clean")))).orderBy((is_total | is_seed).desc(), F.desc("toxic"), "word").limit(20 * MAX_LEARNED).collect()
+    n_clean, n_toxic = next(((r.clean, r.toxic) for r in sums if bytes(r.word) == b" "), (0, 0))
     if not n_clean or not n_toxic:
         return Grammar()
-    odds = {r.word: float(np.log((r.toxic + 0.5) / (n_toxic + 1)) - np.log((r.clean + 0.5) / (n_clean + 1))) for r in sums if r.word != " " and r.toxic >= MIN_SHARE * n_toxic}
-    lexicon = seeds()
-    learned = sorted((w for w, x in odds.items() if x > 2.5 and w not in lexicon), key=lambda w: -odds[w])[:MAX_LEARNED]
-    lexicon |= {w: (INSULT, min(odds[w], 6.0)) for w in learned}
-    lexicon |= {w: (s, max(0.0, min(odds[w], 6.0))) for w, (s, _) in lexicon.items() if s <= THREAT and w in odds}
-    grammar = Grammar(lexicon)
+    odds, stems, frequent = {}, {}, {}
+    for r in sums:
+        name, kind = bytes(r.word), "stem" if bytes(r.word).startswith(b"^") else "word"
+        x = min(6.0, float(np.log((r.toxic + 0.5) / (n_toxic + 1)) - np.log((r.clean + 0.5) / (n_clean + 1))))
+        if name != b" " and (r.toxic >= MIN_SHARE * n_toxic or kind == "word"):
+            (stems if kind == "stem" else odds)[name.removeprefix(b"^") if kind == "stem" else name.decode("utf-8", "replace")] = x
+            frequent[name.decode("utf-8", "replace")] = r.toxic >= MIN_SHARE * n_toxic
+    lexicon = {w: (s, max(0.0, odds.get(w, x)) if s <= THREAT else x) for w, (s, x) in seeds().items()}
+    learned = sorted((w for w, x in odds.items() if x > MIN_ODDS and w not in lexicon and frequent[w]), key=lambda w: (-odds[w], w))[:MAX_LEARNED]
+    lexicon |= {w: (INSULT, odds[w]) for w in learned}
+    best = sorted((w for w, x in stems.items() if x > MIN_ODDS), key=lambda w: (-stems[w], w))[:MAX_LEARNED]
+    grammar = Grammar(lexicon, {w: stems[w] for w in best})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
