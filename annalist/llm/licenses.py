@@ -18,7 +18,6 @@ doc_id (a null one too) give one row; an empty table gives no rows; other column
 from __future__ import annotations
 
 import math
-import random
 import re
 from collections import Counter
 from collections.abc import Sequence
@@ -99,9 +98,8 @@ def _shingles(words: Column) -> Column:
 
 def _bands(shingles: Column, n: int, seed: int) -> Column:
     """The least shingle hash under each of n seeded orders, keyed with the order's number."""
-    draw = random.Random(seed)
-    orders = F.array(*(F.lit(draw.getrandbits(63) - (1 << 62)) for _ in range(n)))
-    return F.transform(orders, lambda c, i: F.xxhash64(i, F.array_min(F.transform(shingles, lambda h: h.bitwiseXOR(c)))))
+    orders = F.sequence(F.lit(seed), F.lit(seed + n - 1))
+    return F.transform(orders, lambda i: F.xxhash64(i, F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, i)))))
 
 
 def _templates(spark: SparkSession, templates: Sequence[tuple[str, str]], n: int, seed: int) -> DataFrame:
@@ -147,10 +145,10 @@ def oracle_sql(templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), containm
     return rf"""
 WITH t(license, size, stride, gram) AS (VALUES {", ".join(values)}),
  wanted AS (SELECT license, count(*) AS n FROM t GROUP BY license),
- split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+ split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
  grams AS (SELECT doc_id, i - 1 AS pos, {grams} AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM split WHERE len(w) >= {SHINGLE})),
  hits AS (SELECT doc_id, license, size, stride, gram, pos FROM grams JOIN t USING (gram)),
  placed AS (SELECT doc_id, license, gram, k * stride AS first_word FROM (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((pos + {SHINGLE} - size) / CAST(stride AS DOUBLE)) AS BIGINT)), pos // stride)) AS k FROM hits)),
- held AS (SELECT doc_id, license, first_word FROM placed GROUP BY ALL HAVING 100 * count(DISTINCT gram) >= {containment} * (SELECT n FROM wanted WHERE wanted.license = placed.license))
+ held AS (SELECT doc_id, license, first_word FROM placed GROUP BY doc_id, license, first_word HAVING 100 * count(DISTINCT gram) >= {containment} * (SELECT n FROM wanted WHERE wanted.license = placed.license))
 SELECT doc_id, license, count(*) AS n_windows, min(first_word) AS first_word FROM held GROUP BY doc_id, license
 """
