@@ -64,9 +64,9 @@ def apportion(parties: DataFrame, share: str, seats: Column, by: list[str], orde
     least = F.greatest(F.lit(0.0), F.floor(exact * F.greatest(F.lit(0.0), F.col("_seats") - F.col("_n") / 2.0) + 0.5) - 1).cast("bigint")
     most = (F.floor(exact * (F.col("_seats") + F.col("_n") / 2.0) + 0.5) + 1).cast("bigint")
     framed = framed.withColumns({"_least": least, "_most": F.when(F.col(share) > 0, most).otherwise(least)})
-    left = (F.col("_seats") - F.sum("_least").over(group)).alias("_left")
+    framed = framed.withColumn("_left", F.col("_seats") - F.sum("_least").over(group))
     key = [*by, *order]
-    candidates = framed.select(*key, share, left, F.explode(F.sequence("_least", "_most")).alias("_k")).where(F.col(share) > 0)
+    candidates = framed.select(*key, share, "_left", F.explode(F.sequence("_least", "_most")).alias("_k")).where(F.col(share) > 0)
     ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy((F.col(share) / (2 * F.col("_k") + 1)).desc(), *(F.col(c).asc_nulls_last() for c in order), "_k")))
     won = ranked.where(F.col("_rank") <= F.col("_left")).groupBy(*key).agg(F.count(F.lit(1)).alias("_won"))
     joined = framed.alias("f").join(won.alias("w"), [F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}")) for c in key], "left")
