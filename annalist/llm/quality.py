@@ -63,7 +63,7 @@ class Rules:
     characters; min_kept: word characters that must be left.
     """
 
-    max_symbols: float = 0.5
+    max_symbols: float = 0.3
     max_shout: float = 0.5
     nav_words: int = 12
     nav_marks: int = 3
