@@ -175,8 +175,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """The documents without a single occurrence of a benchmark window."""
-    return find_contamination(documents, benchmark, window, text).where("n_hit = 0").select(*(F.col(f"`{c}`") for c in documents.columns))
+    """The documents without a single occurrence of a benchmark window; columns stay as they were."""
+    aside = {c: f"__{c}" for c in documents.columns if c in _ADDED}
+    found = find_contamination(documents.withColumnsRenamed(aside), benchmark, window, text).where("n_hit = 0")
+    return found.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in documents.columns))
 
 
 def reference_scan(document: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, list[str], str]:

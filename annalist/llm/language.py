@@ -99,12 +99,11 @@ def train(documents: DataFrame, usable: Column, label: str = "lang", text: str =
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], names=["lang", "bucket", "n"])
 
-    cells = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(cells["lang"].unique())
+    cells = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(cells["lang"].unique().to_pylist())
+    place = {lang: k for k, lang in enumerate(languages)}
     counts = np.zeros((1 << BUCKET_BITS, len(languages)))
-    for k, lang in enumerate(languages):
-        own = cells[cells["lang"] == lang]
-        counts[own["bucket"].to_numpy(np.int64), k] = own["n"].to_numpy()
+    counts[cells["bucket"].to_numpy(), np.array([place[lang] for lang in cells["lang"].to_pylist()], np.int64)] = cells["n"].to_numpy()
     smooth = counts + 0.5
     return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.zeros(len(languages), np.float32))
 

@@ -231,7 +231,8 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, rows: int = M
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c) for c in features(part.column(1), grammar).T)], names=["toxic", *(f"x{i}" for i in range(_FEATURES))])
 
-    rows_ = sample.mapInArrow(measure, "toxic long, " + ", ".join(f"x{i} double" for i in range(_FEATURES))).toPandas().to_numpy()
+    rows_ = sample.mapInArrow(measure, "toxic long, " + ", ".join(f"x{i} double" for i in range(_FEATURES))).toArrow()
+    rows_ = np.column_stack([c.to_numpy() for c in rows_.columns])
     y = rows_[:, 0]
     share = {k: totals.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])

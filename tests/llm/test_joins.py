@@ -234,3 +234,11 @@ def test_pipeline(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_empty_tables(spark, sf, tmp_path):
+    for name in ("documents", "labels", "benchmark", "conversations"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name == "op6_chat_format" else 0), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

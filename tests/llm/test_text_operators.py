@@ -170,6 +170,7 @@ def test_decontamination_random(spark):
                 assert m.length >= min(4, theirs[m.item_id] if m.item_id != "7" else 3)
     assert decontaminate.find_contamination(documents, benchmark.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.remove_contaminated(documents.limit(0), benchmark).columns == documents.columns
+    assert {r.n_hit for r in decontaminate.remove_contaminated(documents, benchmark, window=4).collect()} == {"clash"}
 
 
 def test_language(spark, sf, docs, odd):
