@@ -16,8 +16,6 @@ columns pass through and may not be called like the columns added, which win.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,21 +177,3 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
     aside = {c: f"__{c}" for c in documents.columns if c in _ADDED}
     found = find_contamination(documents.withColumnsRenamed(aside), benchmark, window, text).where("n_hit = 0")
     return found.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in documents.columns))
-
-
-def reference_scan(document: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, list[str], str]:
-    """One document's result by comparing all windows, for tests."""
-
-    def split(text):
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-
-    own, hit, names = split(document), set(), set()
-    for name, text in items:
-        theirs = split(text)
-        width = min(window, len(theirs))
-        wanted = {tuple(theirs[i : i + width]) for i in range(len(theirs) - width + 1)} if width else set()
-        for i in range(len(own) - width + 1):
-            if tuple(own[i : i + width]) in wanted:
-                hit.update(range(i, i + width))
-                names.add(name)
-    return len(own), len(hit), sorted(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

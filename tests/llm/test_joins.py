@@ -8,7 +8,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from annalist.llm import components, decontaminate, jaccard, language, licenses, mixture, pii, queries, tokens, vocabulary
+import plain
+from annalist.llm import components, jaccard, language, licenses, mixture, pii, queries, tokens, vocabulary
 from annalist.llm.learning import held_out
 
 
@@ -225,7 +226,7 @@ def test_pipeline(spark, sf):
     found = {d: c for _, d, n, c in plain_components([(i, rows[i].text) for i in left], jaccard.Threshold(80, 5)) if n}
     left = [i for i in left if found.get(i, i) == i]
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    left = [i for i in left if not decontaminate.reference_scan(rows[i].text, items)[1]]
+    left = [i for i in left if not plain.scan(rows[i].text, items)[1]]
     final = [(i, pii.redact(rows[i].text, pii.find_spans(rows[i].text)[1]), rows[i].source) for i in left]
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in got} == set(left) and len(left) < len(rows)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import plain
 import pytest
 
 from annalist.llm import chat, decontaminate, language, pii, quality, queries, toxicity
@@ -146,7 +147,7 @@ def test_personal_data_query(spark, sf, docs, odd):
 def test_decontamination_query(spark, sf, docs):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for r in queries.op3_decontamination(spark, sf).collect():
-        n, hit, names, digest = decontaminate.reference_scan(docs[r.doc_id], items)
+        n, hit, names, digest = plain.scan(docs[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(names), digest, hit > 0)
 
 
@@ -163,9 +164,9 @@ def test_decontamination_random(spark):
         got = decontaminate.find_contamination(documents, benchmark, window=4, block_chars=chars).collect()
         assert len(got) == len(rows)
         for r in got:
-            n, hit, names, _ = decontaminate.reference_scan(r.text, items, 4)
+            n, hit, names, _ = plain.scan(r.text, items, 4)
             assert (r.n_words, r.n_hit, r["items"]) == (n, hit, names)
-            theirs = {i: decontaminate.reference_scan(t, [], 4)[0] for i, t in items}
+            theirs = {i: plain.scan(t, [], 4)[0] for i, t in items}
             for m in r.matches:
                 assert m.length >= min(4, theirs[m.item_id] if m.item_id != "7" else 3)
     assert decontaminate.find_contamination(documents, benchmark.limit(0)).where("n_hit > 0").count() == 0
