@@ -306,11 +306,11 @@ def jaccard_components(documents: DataFrame, t: Threshold = Threshold(), key: st
     described = checkpointed(describe(documents, t, key, text))
     links = checkpointed(verified_links(documents, partitions(described, t), t, key, text))
     found = connected_components(links)
-    own = described.select("doc", "n", "high", "low").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    own = checkpointed(described.select("doc", "n", "high", "low").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left"))
     # copies of a set are linked, though the graph may know only some of them; so are rows of a repeated id
     usable = own.where("n > 0 AND doc IS NOT NULL").withColumn("component", F.coalesce("component", F.when(F.count(F.lit(1)).over(Window.partitionBy("doc")) > 1, F.col("doc"))))
     same = ["n", "high", "low"]
-    sets = usable.groupBy(*same).agg(F.min("doc").alias("least"), F.min("component").alias("one"), F.max("component").alias("other"))
+    sets = checkpointed(usable.groupBy(*same).agg(F.min("doc").alias("least"), F.min("component").alias("one"), F.max("component").alias("other")))
     bridges = usable.where("component IS NOT NULL").join(sets.where("one <> other").select(*same, "one"), same).select(F.col("component").alias("a"), F.col("one").alias("b"))
     merged = connected_components(bridges).withColumnRenamed("component", "root")
     rooted = sets.join(merged, sets["one"] == merged["node"], "left").select(*same, "least", F.coalesce("root", "one").alias("root"))
