@@ -8,9 +8,10 @@ and the next) can differ. Two linked sets therefore agree on one whole part at l
    Of many parts PARTS are looked at: a linked pair agrees on a part with probability 1/e or more, so that all of
    those miss with probability under 1e-11. Empty parts say little and are not rows; sets with few parts, where they
    may be all that two sets share, cut once more inside an empty part with other hashes, DEPTH times.
-2. Similar documents are partitioned: group members are linked to the first member and the one before, such pairs
-   are dropped if sizes or bottom-k sketches exclude a link, and what stays connected is a partition that no link
-   leaves. Copies of the same set are one member.
+2. Similar documents are partitioned: in order of size, the members of a group fall into runs where a gap in the
+   sizes excludes links, each run is tied to its first member, and what is connected is a partition that no link
+   leaves. Copies of the same set are one member. Of partitions of more than GROUP documents those are dropped that
+   share too few of their shingles with the others of sizes near theirs to be linked.
 3. Groups: a partition is cut into groups of GROUP documents. A task gets a pair of groups of one partition, builds
    each group's token union and bounds every document's overlap with the other union. Only documents whose bound
    allows a link are opened: exact intersections come from a product of token matrices.
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.arrays import LOWER, NOT_SPACE, mix, mix_int, shingles, slices, words
@@ -45,8 +46,6 @@ from annalist.llm.shared import checkpointed
 PARTS = 64
 DEPTH = 3
 FEW_PARTS = 24
-SKETCH = 16
-SKETCH_COMMON = 3
 GROUP = 256
 #: Token matrix cells (documents x tokens) of one product.
 _CELLS = 1 << 24
@@ -147,13 +146,12 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=_U).view(np.int64))
 
 
-_DESCRIBED = "doc bigint, n bigint, high bigint, low bigint, sketch array<int>, rows array<bigint>"
+_DESCRIBED = "doc bigint, n bigint, high bigint, low bigint, rows array<bigint>"
 
 
 def describe(documents: DataFrame, t: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document: the size and a 128-bit hash of its set, a bottom-k sketch, and its matrix rows (none for a
-    copy of a set that the same task has met lately)."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    """For each document: the size and a 128-bit hash of its set, and its matrix rows (none for a copy of a set that
+    the same task has met lately)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: OrderedDict[tuple[int, int], None] = OrderedDict()
@@ -161,9 +159,8 @@ def describe(documents: DataFrame, t: Threshold, key: str = "doc_id", text: str
             sets = token_sets(part.column(1), t.words)
             highs = [int(s.sum()) if len(s) else 0 for s in sets]
             lows = [int(mix(s).sum()) if len(s) else 0 for s in sets]
-            sketches, rows = [], []
+            rows = []
             for own, high, low, doc in zip(sets, highs, lows, part.column(0).to_pylist(), strict=True):
-                sketches.append((own[:SKETCH] >> _U(32)).astype(np.uint32).view(np.int32))
                 if not len(own) or doc is None or (high, low) in met:
                     rows.append(np.zeros(0, np.int64))
                     continue
@@ -171,24 +168,26 @@ def describe(documents: DataFrame, t: Threshold, key: str = "doc_id", text: str
                 if len(met) > 50_000:
                     met.popitem(last=False)
                 rows.append(np.concatenate(signatures(own, t)).view(np.int64))
-            flat = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(np.concatenate(x) if x else [], k.value_type)) for x, k in zip((sketches, rows), kinds[4:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(highs), _signed(lows), *flat], names=["doc", "n", "high", "low", "sketch", "rows"])
+            flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(highs), _signed(lows), flat], names=["doc", "n", "high", "low", "rows"])
 
     return documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).mapInArrow(run, _DESCRIBED)
 
 
+def _sizes_link(less: Column, more: Column, t: Threshold) -> Column:
+    return F.coalesce(100 * less >= t.percent * more, F.lit(False))
+
+
 def partitions(described: DataFrame, t: Threshold) -> DataFrame:
     """doc and part for every document that may be linked: no link leaves a part."""
-    cells = described.select("doc", F.explode("rows").alias("row"))
-    order = Window.partitionBy("row").orderBy("doc")
-    near = cells.select("doc", F.min("doc").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("head"), F.lag("doc").over(order).alias("prev"))
-    pairs = near.where("doc <> head").select(F.explode(F.array_distinct(F.array("head", "prev"))).alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
-    facts = described.where("size(rows) > 0").select("doc", "n", "sketch")
-    pairs = pairs.join(facts.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(facts.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    # of the SKETCH least hashes of two linked sets that large, fewer than SKETCH_COMMON in common are a matter of less than one in a million
-    likely = (F.least("na", "nb") < 4 * SKETCH) | (F.size(F.array_intersect("sa", "sb")) >= SKETCH_COMMON)
-    pairs = pairs.where((100 * F.least("na", "nb") >= t.percent * F.greatest("na", "nb")) & likely)
-    return connected_components(pairs.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("part"))
+    cells = described.select("doc", "n", F.explode("rows").alias("row"))
+    order = Window.partitionBy("row").orderBy("n", "doc")
+    # two members whose sizes allow a link have only such neighbours between them, so a run that no gap in the sizes
+    # interrupts holds every link of its members inside the row
+    near = cells.withColumn("first", F.when(~_sizes_link(F.lag("n").over(order), F.col("n"), t), F.col("doc")))
+    runs = near.select("doc", F.last("first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("head"))
+    pairs = runs.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    return connected_components(pairs).select(F.col("node").alias("doc"), F.col("component").alias("part"))
 
 
 class Links:
@@ -251,12 +250,36 @@ def _held(tokens: np.ndarray, union: np.ndarray) -> int:
     return int((union[at] == tokens).sum())
 
 
+def able_members(own: DataFrame, t: Threshold) -> DataFrame:
+    """doc and part of the rows of own (doc, part, text) that others of the part and of sizes near theirs might hold
+    enough of for a link. Exact, as a link needs that much of a set in one other set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = token_sets(part.column(2), t.words)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.repeat(sizes, sizes)), _signed(np.concatenate(sets))], names=["doc", "part", "n", "token"])
+
+    order = Window.partitionBy("part", "token").orderBy("n", "doc")
+    cells = own.select("doc", "part", "text").mapInArrow(run, "doc bigint, part bigint, n bigint, token bigint")
+    # the members next in size are the ones nearest to a link
+    held = cells.withColumn("held", _sizes_link(F.lag("n").over(order), F.col("n"), t) | _sizes_link(F.col("n"), F.lead("n").over(order), t))
+    return held.groupBy("doc", "part", "n").agg(F.count_if("held").alias("held")).where(100 * F.col("held") >= t.percent * F.col("n")).select("doc", "part").distinct()
+
+
 def verified_links(documents: DataFrame, members: DataFrame, t: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b): enough of the links inside parts to connect whatever is linked."""
-    sizes = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    placed = members.join(sizes, "part").withColumn("group", F.pmod(F.xxhash64("doc"), "groups").cast("int"))
+
+    def sized(members: DataFrame) -> DataFrame:
+        return members.join(members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")), "part").select("doc", "part", "groups")
+
+    first = sized(members)
+    own = checkpointed(documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(first, "doc"))
+    able = checkpointed(able_members(own.where("groups > 1"), t))
+    placed = first.where("groups = 1").unionByName(sized(able)).withColumn("group", F.pmod(F.xxhash64("doc"), "groups").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(F.least(g, "group").alias("g"), F.greatest(g, "group").alias("h")))
-    copies = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(placed, "doc").select("part", F.inline(pairs), "group", "doc", "text")
+    copies = own.select("doc", "text").join(placed, "doc").select("part", F.inline(pairs), "group", "doc", "text")
     dealt = copies.repartition("part", "g", "h").sortWithinPartitions("part", "g", "h", "group", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

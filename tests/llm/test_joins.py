@@ -70,6 +70,22 @@ def test_jaccard_brute_force(spark, t, monkeypatch):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == plain_components(rows, t)
 
 
+@pytest.mark.parametrize("t", [jaccard.Threshold(90, 3), jaccard.Threshold(80, 5)])
+def test_jaccard_few_among_many(spark, t):
+    """A row's first members and neighbours are of sizes that exclude a link with the few shorter ones."""
+    draw = random.Random(7)
+    own = iter(range(10**6))
+    rows = []
+    for words, more, most in ((100, 6, 14), (100, 20, 30), (10, 1, 2)):
+        base = [f"b{next(own)}" for _ in range(words + t.words - 1)]
+        grown = lambda n, base=base: " ".join(base + [f"o{next(own)}" for _ in range(n)])
+        texts = [grown(most) for _ in range(998)]
+        texts[300:300], texts[700:700] = [grown(0)], [grown(more)]
+        rows += [(len(rows) + i, x) for i, x in enumerate(texts)]
+    got = jaccard.jaccard_components(spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id bigint, text string"), t).collect()
+    assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows, t)
+
+
 def test_jaccard_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries.op2_jaccard_join(spark, sf).collect()
