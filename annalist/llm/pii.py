@@ -167,7 +167,7 @@ def deobfuscate(text: str) -> Tape | None:
         tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
     for disguise, plain in ((_AT, "@"), (_PLAIN, "@")):
         tape.rewrite([(*m.span(), plain) for m in disguise.finditer(tape.text)])
-    if (tape.text is not text and "@" in tape.text) or _DOT.search(tape.text):
+    if ("@" in tape.text and _PLAIN_DOT.search(tape.text)) or _DOT.search(tape.text):
         near = [m.start() for m in re.finditer("@", tape.text)]
         for disguise in (_DOT, _PLAIN_DOT):
             spans = [m.span() for m in disguise.finditer(tape.text)]

@@ -114,6 +114,7 @@ def test_base_spans_random():
         ("write to jane.doe (at) example (dot) com today", "email", "jane.doe (at) example (dot) com"),
         ("write to jane [at] mail.example.org today", "email", "jane [at] mail.example.org"),
         ("jane at example dot com", "email", "jane at example dot com"),
+        ("write to jane@example dot com today", "email", "jane@example dot com"),
         ("mail аlice@exаmple.com now", "email", "аlice@exаmple.com"),
         ("from １０.0.0.7 it came", "ip", "１０.0.0.7"),
         ("call plus one two one two five five five zero one zero zero please", "phone", "plus one two one two five five five zero one zero zero"),
