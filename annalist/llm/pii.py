@@ -3,7 +3,7 @@
 Base detectors run on the text itself. Then a chain of transducers rewrites the text and keeps, for every character
 it writes, where that came from: homoglyphs and full-width forms become ASCII, spelled digits become digits, and
 at/dot disguises become @ and dots. The same detectors run on the rewritten text, and what they find is mapped back
-to source characters. A found span is added unless it overlaps a base span of any kind.
+to source characters. A found span is added unless it is inside a base span of any kind; base spans always stay.
 
 Detectors are linear in the text: each anchors on a character its matches must have (@, +, a digit not after a digit)
 and never looks back further than the previous match.
@@ -187,7 +187,7 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     every = list(base)
     for s, e, k in detect(tape.text):
         s, e = tape.source(s, e)
-        if not any(s < b and a < e for a, b, _ in every):
+        if not any(a <= s and e <= b for a, b, _ in base):
             every.append((s, e, k))
     return base, sorted(every)
 

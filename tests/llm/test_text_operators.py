@@ -130,6 +130,14 @@ def test_disguises(text, kind, piece):
         assert piece not in pii.redact(text, every)
 
 
+@pytest.mark.parametrize("address", ["jаne@example.com", "jane@mail.exаmple.com"])
+def test_disguise_beside_a_base_span(address):
+    base, every = pii.find_spans(f"to {address}, please")
+    assert len(base) == 1 and base[0][:2] != (3, 3 + len(address))
+    assert base[0] in every and (3, 3 + len(address), 0) in every
+    assert pii.redact(f"to {address}, please", every) == "to [EMAIL], please"
+
+
 def test_clean_text_has_no_spans():
     for text in ("one day at home", "meet at noon dot dot dot", "version 2.0 of 4 things", "un deux trois à la six"):
         assert pii.find_spans(text) == ([], [])
