@@ -2,7 +2,8 @@
 
 Base detectors run on the text itself. Then a chain of transducers rewrites the text and keeps, for every character
 it writes, where that came from: homoglyphs and full-width forms become ASCII, spelled digits become digits, and
-at/dot disguises become @ and dots. The same detectors run on the rewritten text, and what they find is mapped back
+at/dot disguises become @ and dots. Bare words count where they form a whole address or number: `at` between a word that
+is common in prose and a domain does not, unless its last label is one of _TOP after a spelled dot. The same detectors run on the rewritten text, and what they find is mapped back
 to source characters. A found span is added unless it is inside a base span of any kind; base spans always stay.
 
 Detectors are linear in the text: each anchors on a character its matches must have (@, +, a digit not after a digit)
@@ -15,6 +16,7 @@ through, and the columns added win over columns of the same names.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -61,17 +63,35 @@ _FOLD = _fold_table()
 _STRANGE = re.compile("[" + "".join(re.escape(chr(c)) for c in _FOLD) + _INVISIBLE + "]")
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _WORD = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"\b(?:{_WORD}|[0-9])(?:[ ,.-]{{1,2}}(?:{_WORD}|[0-9])){{3,}}\b", re.I)
-_SPELLED_HINT = re.compile(rf"\b(?:{_WORD})[ ,.-]{{1,2}}(?:{_WORD}|[0-9])\b", re.I)
-_SPELLED_PIECE = re.compile(rf"({_WORD}|[0-9])([ ,.-]*)", re.I)
+_JOINT = r"(?:[ ,.-]{1,2}|\s(?:dot|point)\s)"
+_SPELLED = re.compile(rf"\b(?:{_WORD}|[0-9])(?:{_JOINT}(?:{_WORD}|[0-9])){{3,}}\b", re.I)
+_SPELLED_HINT = re.compile(rf"\b(?:{_WORD}){_JOINT}(?:{_WORD}|[0-9])|\b[0-9]{_JOINT}(?:{_WORD})\b|[0-9]\s(?:dot|point)\s(?:{_WORD}|[0-9])", re.I)
+_SPELLED_PIECE = re.compile(rf"({_WORD}|[0-9]+)(\s(?:dot|point)\s|[ ,.-]*)", re.I)
+# four numbers with dots between, each in figures or spelled digit by digit
+_NUMBER = rf"(?:[0-9]{{1,3}}|(?:{_WORD}|[0-9])(?:[ ,-]{{1,2}}(?:{_WORD}|[0-9])){{0,2}})"
+_SPELLED_IP = re.compile(rf"(?<![0-9.])\b{_NUMBER}(?:(?:\s(?:dot|point)\s|\.){_NUMBER}){{3}}\b", re.I)
 _PLUS = re.compile(r"\bplus[ -](?=[0-9])", re.I)
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|point|\.)\s?[\])}>]\s?", re.I)
-# Last labels of the domains that bare words may spell.
-_TOP = "com|org|net|edu|gov|info|io|co|eu|de|fr|es|it|nl|uk|us|ca|au|ch|at|be|br|mx|jp|cn|in|ru|pl|se|no|dk|fi|pt"
-_PLAIN = re.compile(rf"(?<=[A-Za-z0-9])\sat\s(?=[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+){{0,3}}\sdot\s(?:{_TOP})\b)", re.I)
+# Last labels of domains that need no further sign of an address.
+_TOP = frozenset("com org net edu gov info io co eu de fr es it nl uk us ca au ch at be br mx jp cn in ru pl se no dk fi pt".split())
+_NEW_TOP = _TOP | frozenset("ai app arpa biz blog cloud cz dev ie int jobs kr me mil mobi name nz online page pro shop site store tech tv xyz za".split())
+# Words that are no name before `at` and no label of a domain around a spelled dot.
+_PROSE = frozenset(
+    "a about above after again all also am an and any anyone are around arrive arrived arrives as ask available back based be because been before being below best both but by call called came can "
+    "click come comes contact could day did do does dot down download each either email employed end ended every everyone few find first for found founded from get given go goes had happened has have he held her here "
+    "him his home hosted how i if in into is it its join just keep kept know last launched least left like listed live lived lives look looked looking looks made mail many me meet meeting meets met more most much my named no not "
+    "now of off on once one online only open or our out over page people place placed point pointed points posted published read register said same saw see seen sell she shop site so sold some start started starts stay stayed "
+    "still stop stopped store such than that the their them then there these they thing this those time to today together tomorrow too two under until up us used very via visit visited was way we website went were what when where "
+    "which while who will with work worked working works would write yesterday yet you your".split()
+)
+_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\sat\s(?=[A-Za-z0-9])", re.I)
+_LAST_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
+_LABELS = re.compile(r"[A-Za-z0-9-]+(?:(?:\sdot\s|\.)[A-Za-z0-9-]+)*", re.I)
+_JOIN = re.compile(r"\sdot\s|\.", re.I)
 _PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9])\sdot\s(?=[A-Za-z0-9])", re.I)
-_NEAR = 80
+_LOCAL_DOT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]{1,64})(\sdot\s)\Z", re.I)
+_LOCAL_DOTS = 5
 
 
 def luhn(digits: str) -> bool:
@@ -149,13 +169,64 @@ class Tape:
 
 
 def _spelled(match: re.Match) -> list[tuple[int, int, str]]:
-    """Digits for spelled ones; blanks and commas between them go, dots and hyphens stay."""
+    """Digits for spelled ones; blanks and commas between them go, dots, spelled or not, and hyphens stay."""
     return [
-        (match.start() + p.start(), match.start() + p.end(), _DIGITS.get(p[1].lower(), p[1]) + "".join(c for c in p[2] if c in ".-"))
+        (match.start() + p.start(), match.start() + p.end(), _DIGITS.get(p[1].lower(), p[1]) + ("." if p[2][1:2].isalpha() else "".join(c for c in p[2] if c in ".-")))
         for p in _SPELLED_PIECE.finditer(match[0])
     ]
 
 
+def _spelled_address(text: str, at: re.Match) -> bool:
+    """Whether the words around a bare `at` form a whole address. A domain of real dots alone needs a known last label
+    or a local part that is no plain word, as sentences may lack the blank between them."""
+    local, domain = _LAST_LOCAL.search(text, max(0, at.start() - 64), at.start()), _LABELS.match(text, at.end())
+    if not local or not domain:
+        return False
+    found = domain[0].lower()
+    labels = _JOIN.split(found)
+    if any(top in _TOP for top, dot in zip(labels[1:], _JOIN.findall(found), strict=True) if dot != "."):
+        return True
+    before, last = local[0].lower(), labels[-1]
+    if len(labels) < 2 or not (last.isalpha() and 2 <= len(last) <= 24) or before in _PROSE or labels[0] == "www":
+        return False
+    spelled = "." not in found or _PLAIN_DOT.search(found)
+    if spelled:
+        return not any(label in _PROSE for label in labels) or (last in _NEW_TOP and labels[-2] not in _PROSE)
+    return text[domain.end() : domain.end() + 1] != "/" and (last in _NEW_TOP or not before.isalpha())
+
+
+def _address_dots(text: str) -> Iterator[tuple[int, int]]:
+    """The bare dots of the addresses around at signs: up to _LOCAL_DOTS in a local part and all in a domain."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start, dots = at, []
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < at and len(dots) < _LOCAL_DOTS:
+            m = _LOCAL_DOT.search(text, max(done, start - 70), start)
+            if not m or m[1].lower() in _PROSE:
+                break
+            dots.append(m.span(2))
+            start = m.start()
+        yield from reversed(dots)
+        domain = _LABELS.match(text, at + 1)
+        done = at + 1
+        if domain and start < at:
+            pieces = list(_JOIN.finditer(text, domain.start(), domain.end()))
+            plain = sum(1 for _ in itertools.takewhile(lambda p: p[0] == ".", pieces))
+            ends = [p.start() for p in pieces[1:]] + [domain.end()]
+            labels = [text[p.end() : e].lower() for p, e in zip(pieces, ends, strict=True)]
+            known = max((i for i, label in enumerate(labels) if label in _NEW_TOP), default=-1)
+            for i, p in enumerate(pieces):
+                # an address that is whole goes on only to a known last label, others to the first word of prose
+                if i > known and (labels[i] in _PROSE or known >= 0 or 0 < plain <= i):
+                    break
+                if p[0] != ".":
+                    yield p.span()
+            done = domain.end()
+        at = text.find("@", done)
+
+
 def deobfuscate(text: str) -> Tape | None:
     """The rewritten text, or None if no transducer changes it."""
     tape = Tape(text)
@@ -163,18 +234,14 @@ def deobfuscate(text: str) -> Tape | None:
         tape.text = text.translate(_FOLD)  # one character for one, so places stay
         tape.rewrite([(*m.span(), "") for m in _HIDDEN.finditer(tape.text)])
     if _SPELLED_HINT.search(tape.text):
-        tape.rewrite([edit for m in _SPELLED.finditer(tape.text) for edit in _spelled(m)])
+        for spelled in (_SPELLED_IP, _SPELLED):
+            tape.rewrite([edit for m in spelled.finditer(tape.text) for edit in _spelled(m)])
         tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
-    for disguise, plain in ((_AT, "@"), (_PLAIN, "@")):
-        tape.rewrite([(*m.span(), plain) for m in disguise.finditer(tape.text)])
-    if ("@" in tape.text and _PLAIN_DOT.search(tape.text)) or _DOT.search(tape.text):
-        near = [m.start() for m in re.finditer("@", tape.text)]
-        for disguise in (_DOT, _PLAIN_DOT):
-            spans = [m.span() for m in disguise.finditer(tape.text)]
-            if disguise is _PLAIN_DOT:  # the bare word counts shortly after an at sign only
-                spans = [s for s in spans if any(0 < s[0] - a <= _NEAR for a in near)]
-            tape.rewrite([(*s, ".") for s in spans])
-            near = [m.start() for m in re.finditer("@", tape.text)]
+    tape.rewrite([(*m.span(), "@") for m in _AT.finditer(tape.text)])
+    tape.rewrite([(*m.span(), "@") for m in _BARE_AT.finditer(tape.text) if _spelled_address(tape.text, m)])
+    tape.rewrite([(*m.span(), ".") for m in _DOT.finditer(tape.text)])
+    if "@" in tape.text and _PLAIN_DOT.search(tape.text):
+        tape.rewrite([(*span, ".") for span in _address_dots(tape.text)])
     return None if tape.text is text or tape.text == text else tape
 
 

@@ -138,6 +138,31 @@ def test_disguise_beside_a_base_span(address):
     assert pii.redact(f"to {address}, please", every) == "to [EMAIL], please"
 
 
+@pytest.mark.parametrize(
+    ("piece", "kind"),
+    [
+        ("jane at example dot dev", "email"),
+        ("jane at example.com", "email"),
+        ("jane.doe at example.zone", "email"),
+        ("jane dot doe at example dot com", "email"),
+        ("jane dot m dot doe@example.com", "email"),
+        ("one nine two dot one six eight dot one dot one", "ip"),
+        ("one nine two dot 168 dot 1 dot one", "ip"),
+    ],
+)
+def test_spelled_addresses(piece, kind):
+    for text in (piece, f"Contact: {piece}, or wait"):
+        every = pii.find_spans(text)[1]
+        assert (pii.KINDS.index(kind), piece) in [(k, text[s:e]) for s, e, k in every]
+        assert pii.redact(text, every) == text.replace(piece, f"[{kind.upper()}]")
+
+
+def test_prose_has_no_spelled_addresses():
+    for text in ("look at the dot matrix printer", "stared at one dot on the wall", "they arrived at noon.Then she left", "John works at example.com", "look at www.example.com", "one dot two dot three"):
+        assert pii.find_spans(text) == ([], [])
+    assert pii.find_spans("jane@example.com dot matrix")[1] == [(0, 16, 0)]
+
+
 def test_clean_text_has_no_spans():
     for text in ("one day at home", "meet at noon dot dot dot", "version 2.0 of 4 things", "un deux trois à la six"):
         assert pii.find_spans(text) == ([], [])
