@@ -5,8 +5,9 @@ suffix array holds only the suffixes that start a long enough run of benchmark w
 then binary-searched in it. Matches on one diagonal are joined to the longest verbatim matches and their locations.
 
 The documents are read once, nothing of them is shuffled and a lost executor costs only its own slices. The items
-travel in blocks of at most `block_chars` characters, one broadcast a block, so what a worker holds is bounded
-whatever the size of the benchmark; the driver holds one block at a time.
+travel in blocks of about `block_chars` characters (a longer item is in one block), one broadcast a block. A worker
+takes HELD slices through one block after the other and holds one block at a time, as the driver does; the others wait
+on its disk, or in its memory where Spark encrypts broadcasts.
 
 Defined results: null or wordless texts have no words and no hits; a null or wordless item has no windows; rows of
 documents are kept one by one, repeated or not; items are told apart by item_id, rows that share one are one item;
@@ -16,6 +17,7 @@ columns pass through and may not be called like the columns added, which win.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from annalist.llm.arrays import ALNUM, LOWER, slices, words
 
 WINDOW = 10
 BLOCK_CHARS = 16 << 20
+#: Slices that a block is loaded for, where there are several blocks.
+HELD = 8
 
 _ADDED = {
     "n_words": pa.int64(),
@@ -118,29 +122,42 @@ def longest(word: np.ndarray, item: np.ndarray, place: np.ndarray, width: np.nda
     return [row[heads], item[heads], word[heads], place[heads], word[tails] + width[tails] - word[heads]]
 
 
-def scan_slice(column: pa.Array, blocks: list[TestSuffixes]) -> list[pa.Array]:
-    found = words(column, ALNUM, LOWER)
-    n = len(found.first) - 1
-    marks = np.zeros(len(found.hashes) + 1, dtype=np.int64)
-    hits: dict[int, tuple[set[str], list[dict]]] = {}
-    for tests in blocks:
-        word, item, place, width = matches_of(found, tests)
+class Scanned:
+    """What is known of a slice after some of the blocks."""
+
+    def __init__(self, column: pa.Array):
+        found = words(column, ALNUM, LOWER)
+        self.hashes, self.first = found.hashes, found.first
+        self.marks = np.zeros(len(self.hashes) + 1, dtype=np.int64)
+        self.hits: dict[int, tuple[set[str], list[dict]]] = {}
+
+    def mark(self, tests: TestSuffixes) -> None:
+        word, item, place, width = matches_of(self, tests)
         if not len(word):
-            continue
-        np.add.at(marks, word, 1)
-        np.add.at(marks, word + width, -1)
-        row = np.searchsorted(found.first, word, "right") - 1
+            return
+        np.add.at(self.marks, word, 1)
+        np.add.at(self.marks, word + width, -1)
+        row = np.searchsorted(self.first, word, "right") - 1
         for r, i, w, p, length in zip(*(x.tolist() for x in longest(word, item, place, width, row)), strict=True):
-            names, spans = hits.setdefault(r, (set(), []))
+            names, spans = self.hits.setdefault(r, (set(), []))
             names.add(tests.ids[i])
-            spans.append({"item_id": tests.ids[i], "word": w - int(found.first[r]), "item_word": p, "length": length})
-    covered = np.zeros(len(marks), dtype=np.int64)
-    np.cumsum(np.cumsum(marks[:-1]) > 0, out=covered[1:])
-    n_hit = covered[found.first[1:]] - covered[found.first[:-1]]
-    items = [sorted(hits[r][0]) if r in hits else [] for r in range(n)]
-    spans = [sorted(hits[r][1], key=lambda m: (m["word"], m["item_id"], m["item_word"])) if r in hits else [] for r in range(n)]
-    kinds = list(_ADDED.values())
-    return [pa.array(x, t) for x, t in zip((np.diff(found.first), n_hit, [len(i) for i in items], items, spans), kinds, strict=True)]
+            spans.append({"item_id": tests.ids[i], "word": w - int(self.first[r]), "item_word": p, "length": length})
+
+    def columns(self) -> list[pa.Array]:
+        n, hits = len(self.first) - 1, self.hits
+        covered = np.zeros(len(self.marks), dtype=np.int64)
+        np.cumsum(np.cumsum(self.marks[:-1]) > 0, out=covered[1:])
+        n_hit = covered[self.first[1:]] - covered[self.first[:-1]]
+        items = [sorted(hits[r][0]) if r in hits else [] for r in range(n)]
+        spans = [sorted(hits[r][1], key=lambda m: (m["word"], m["item_id"], m["item_word"])) if r in hits else [] for r in range(n)]
+        kinds = list(_ADDED.values())
+        return [pa.array(x, t) for x, t in zip((np.diff(self.first), n_hit, [len(i) for i in items], items, spans), kinds, strict=True)]
+
+
+def _loaded(block) -> TestSuffixes:
+    """The value of a broadcast, not kept by it; an encrypted one has no file in a worker."""
+    path = getattr(block, "_path", None)
+    return block.value if path is None else block.load_from_path(path)
 
 
 def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_chars: int) -> list:
@@ -163,10 +180,16 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     kept = [c for c in documents.columns if c not in _ADDED]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [b.value for b in blocks]
-        for part in slices(batches, text):
-            added = scan_slice(part.column(part.schema.get_field_index(text)), tests)
-            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, *_ADDED])
+        parts = slices(batches, text)
+        while held := list(itertools.islice(parts, HELD if len(blocks) > 1 else 1)):
+            scanned = [Scanned(part.column(part.schema.get_field_index(text))) for part in held]
+            for block in blocks:
+                tests = block.value if len(blocks) == 1 else _loaded(block)
+                for own in scanned:
+                    own.mark(tests)
+                del tests
+            for part, own in zip(held, scanned, strict=True):
+                yield pa.RecordBatch.from_arrays([*part.columns, *own.columns()], names=[*part.schema.names, *_ADDED])
 
     source = documents.select(*(F.col(f"`{c}`") for c in kept))
     return source.mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), _SQL]))

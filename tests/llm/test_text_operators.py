@@ -208,6 +208,28 @@ def test_decontamination_random(spark):
     assert {r.n_hit for r in decontaminate.remove_contaminated(documents, benchmark, window=4).collect()} == {"clash"}
 
 
+def test_decontamination_holds_one_block(spark, monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    documents = spark.createDataFrame([], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(str(i), f"w{i} x y z") for i in range(40)], "item_id string, text string")
+    captured, live, plain_matches = [], [], decontaminate.matches_of
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, f, schema: captured.append(f))
+    decontaminate.find_contamination(documents, benchmark, window=4, block_chars=80)
+
+    def watched(found, tests):
+        live.append(sum(isinstance(x, decontaminate.TestSuffixes) for x in gc.get_objects()))
+        return plain_matches(found, tests)
+
+    monkeypatch.setattr(decontaminate, "matches_of", watched)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a w3 x y z b", "w39 x y z w0 x y z"]})
+    rows = [r for out in captured[0](iter([batch])) for r in out.to_pylist()]
+    assert [(r["n_hit"], r["items"]) for r in rows] == [(4, ["3"]), (8, ["0", "39"])]
+    assert len(live) > 3 and max(live) == 1
+
+
 def test_language(spark, sf, docs, odd):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = queries.op8_language_id(spark, sf).collect()
