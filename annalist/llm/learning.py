@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a classifier learns from, for each label, at most (in expectation).
 MAX_TRAINING_ROWS = 2000
-#: Labels that a classifier can have.
+#: Labels that a classifier can have; more raise, so none is left out unseen.
 MAX_LABELS = 1024
 
 
@@ -26,8 +26,11 @@ def bounded_sample(labelled: DataFrame, label: str, key: str, rows: int = MAX_TR
 
     The counts come from one aggregation over the label column alone.
     """
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS).collect()
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col(label) == r[label]) & (spread(key) < min(1.0, rows / r["count"])))
-    return labelled.where(wanted)
+    counts = labelled.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} values of {label}")
+    if not counts:
+        return labelled.where(F.lit(False))
+    # one flat map, as a chain of conditions overflows the planner's stack long before MAX_LABELS
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r[label], min(1.0, rows / r["count"]))))
+    return labelled.where(spread(key) < shares[F.col(label)])

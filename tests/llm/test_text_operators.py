@@ -7,7 +7,7 @@ import re
 import plain
 import pytest
 
-from annalist.llm import chat, decontaminate, language, pii, quality, queries, toxicity
+from annalist.llm import chat, decontaminate, language, learning, pii, quality, queries, toxicity
 from annalist.llm.learning import held_out
 
 ODD = [
@@ -246,6 +246,13 @@ def test_language(spark, sf, docs, odd):
     assert set(language.identify_language(odd, language.Model([], model.weights[:, :0], model.prior[:0])).select("lang_pred").distinct().collect()[0]) == {"und"}
 
 
+def test_too_many_labels_raise(spark):
+    rows = spark.range(learning.MAX_LABELS).selectExpr("id", "cast(id as string) lang")
+    assert learning.bounded_sample(rows.unionByName(spark.createDataFrame([(-1, None)], "id bigint, lang string")), "lang", "id").where("lang IN ('0', '1023')").count() == 2
+    with pytest.raises(ValueError, match="lang"):
+        learning.bounded_sample(rows.unionByName(spark.createDataFrame([(-2, "rare")], "id bigint, lang string")), "lang", "id")
+
+
 def test_toxicity(spark, odd):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
