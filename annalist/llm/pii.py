@@ -2,22 +2,27 @@
 
 Base detectors run on the text itself. Then a chain of transducers rewrites the text and keeps, for every character
 it writes, where that came from: homoglyphs and full-width forms become ASCII, spelled digits become digits, and
-at/dot disguises become @ and dots. Bare words count where they form a whole address or number: `at` between a word that
-is common in prose and a domain does not, unless its last label is one of _TOP after a spelled dot. The same detectors run on the rewritten text, and what they find is mapped back
-to source characters. A found span is added unless it is inside a base span of any kind; base spans always stay.
+at/dot disguises become @ and dots. Bare words count where they form a whole address or number: `at` between a word
+that is common in prose and a domain does not, unless its last label is one of _TOP after a spelled dot. The same
+detectors run on the rewritten text, and what they find is mapped back to source characters. A found span is added
+unless it is inside a base span of any kind; base spans always stay.
 
 Detectors are linear in the text: each anchors on a character its matches must have (@, +, a digit not after a digit)
-and never looks back further than the previous match.
-
-Defined results: null texts are empty, without spans; spans are code points, end exclusive; documents are read one by
-one, without a shuffle, so repeated rows give repeated results; an empty table gives no rows; extra columns pass
-through, and the columns added win over columns of the same names.
+and never looks back further than the previous match. So are the transducers, whose looks around are of bounded
+length or end where the next one begins; found spans are compared with base spans by binary search.
+
+Defined results: null texts are empty, without spans; spans are code points, end exclusive; spans that start together
+go in the order of KINDS, then by end; documents are read one by one, without a shuffle, so repeated rows give repeated
+results and a very long text is read whole, with a tape of two integers a character only if a transducer changes it; an
+empty table gives no rows; extra columns pass through, and the columns added win over columns of the same names
+(redact_documents keeps all columns, whatever their names).
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.arrays import slices
+from annalist.llm.shared import names_aside
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -136,9 +142,14 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 _DETECTORS: tuple[Callable[[str], Iterator[tuple[int, int]]], ...] = (_emails, _ips, _cards, _phones)
 
 
+def _place(span: Span) -> tuple[int, int, int]:
+    """Spans go by start, then kind, then end."""
+    return span[0], span[2], span[1]
+
+
 def detect(text: str) -> list[Span]:
     """Leftmost, non-overlapping spans of each kind, by start and then kind."""
-    return sorted((s, e, k) for k, find in enumerate(_DETECTORS) for s, e in find(text))
+    return sorted(((s, e, k) for k, find in enumerate(_DETECTORS) for s, e in find(text)), key=_place)
 
 
 class Tape:
@@ -252,11 +263,14 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     if tape is None:
         return base, base
     every = list(base)
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, e, _ in base), max))  # the furthest end of the base spans so far
     for s, e, k in detect(tape.text):
         s, e = tape.source(s, e)
-        if not any(a <= s and e <= b for a, b, _ in base):
+        before = bisect_right(starts, s)
+        if not before or reach[before - 1] < e:
             every.append((s, e, k))
-    return base, sorted(every)
+    return base, sorted(every, key=_place)
 
 
 def written(spans: list[Span]) -> str:
@@ -301,6 +315,6 @@ def find_personal_data(documents: DataFrame, text: str = "text", outputs: tuple[
 
 def redact_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents with personal data in `text` replaced; all rows and columns stay."""
-    hidden = "__redacted"
-    found = find_personal_data(documents.withColumnRenamed("redacted", hidden), text, ("redacted",))
-    return found.select(*(F.col("redacted").alias(c) if c == text else F.col(f"`{hidden}`").alias(c) if c == "redacted" else F.col(f"`{c}`") for c in documents.columns))
+    aside = names_aside(documents.columns, ("redacted",))
+    found = find_personal_data(documents.withColumnsRenamed(aside), aside.get(text, text), ("redacted",))
+    return found.select(*(F.col("redacted" if c == text else f"`{aside.get(c, c)}`").alias(c) for c in documents.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
@@ -35,3 +36,15 @@ def written_and_reread(df: DataFrame) -> DataFrame:
     folder = f"{_shared_folder(context)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def names_aside(columns: list[str], added: Iterable[str]) -> dict[str, str]:
+    """New names, taken by no column, for the columns that are called like one added."""
+    out: dict[str, str] = {}
+    for name in added:
+        if name in columns:
+            other = f"_{name}"
+            while other in columns or other in added or other in out.values():
+                other = f"_{other}"
+            out[name] = other
+    return out
