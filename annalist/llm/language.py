@@ -4,37 +4,40 @@ The matrix of log-probabilities (buckets x languages) is the only thing broadcas
 and not by the data. Documents are scored in slices: n-grams of the whole text are hashed in numpy, summed to sparse
 (row, bucket, count) triples, and multiplied with the matrix. No shuffle.
 
-Defined results: null texts and texts without a letter are `und` with score 0; a text that has letters always gets a
-learned language, ties going to the first in sort order; with nothing to learn from every text is `und`; rows are
-scored one by one; an empty table gives no rows; extra columns pass through, and the columns added win over columns
-of the same names.
+Defined results: null texts and texts without a letter (Unicode category L) are `und` with score 0; a text that has
+letters always gets a learned language, ties going to the first in sort order; with nothing to learn from every text is
+`und`; rows are scored one by one, repeated or not; a very long text is scored whole, its n-grams counted in one pass in
+memory linear in it; an empty table gives no rows; extra columns pass through, and the columns added win over columns of
+the same names (keep_identified keeps all columns, whatever their names).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.arrays import slices
-from annalist.llm.learning import MAX_TRAINING_ROWS, bounded_sample
+from annalist.llm.learning import MAX_TRAINING_ROWS, bounded_sample, label_counts
+from annalist.llm.shared import names_aside
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPREAD = np.uint32(2654435761)
 _SLICE = 1 << 19
 
 
 @dataclass(frozen=True)
 class Model:
-    """languages in sort order; weights: log P(bucket | language) as float32; prior: log P(language)."""
+    """languages in sort order; weights: log P(bucket | language) as float32; prior: log P(language), from all rows that
+    are usable and not only those sampled."""
 
     languages: list[str]
     weights: np.ndarray
@@ -82,7 +85,8 @@ def train(documents: DataFrame, usable: Column, label: str = "lang", text: str =
     Counts are summed on the executors; the driver gets buckets x languages numbers.
     """
     labelled = documents.where(usable & F.col(label).isNotNull() & F.col(text).isNotNull())
-    chosen = bounded_sample(labelled, label, key, rows).select(F.col(label).alias("lang"), F.col(text).alias("text"))
+    totals = label_counts(labelled, label)
+    chosen = bounded_sample(labelled, label, key, rows, totals).select(F.col(label).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -105,7 +109,8 @@ def train(documents: DataFrame, usable: Column, label: str = "lang", text: str =
     counts = np.zeros((1 << BUCKET_BITS, len(languages)))
     counts[cells["bucket"].to_numpy(), np.array([place[lang] for lang in cells["lang"].to_pylist()], np.int64)] = cells["n"].to_numpy()
     smooth = counts + 0.5
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.zeros(len(languages), np.float32))
+    shares = np.array([totals[lang] for lang in languages], dtype=float)
+    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log(shares / max(1.0, shares.sum())).astype(np.float32))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -144,7 +149,6 @@ def identify_language(documents: DataFrame, model: Model, text: str = "text") ->
 
 def keep_identified(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Drops documents in which no language can be identified; columns stay as they were."""
-    columns = documents.columns
-    shadow = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text}`").alias("text")) if {"lang_pred", "score"} & set(columns) else documents
-    found = identify_language(shadow, model, text if shadow is documents else "text").where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*columns) if shadow is documents else found.select("row.*")
+    aside = names_aside(documents.columns, ("lang_pred", "score"))
+    found = identify_language(documents.withColumnsRenamed(aside), model, aside.get(text, text)).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in documents.columns))

@@ -21,16 +21,19 @@ def spread(*columns: str, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bounded_sample(labelled: DataFrame, label: str, key: str, rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """About `rows` rows of each label at most, chosen by a hash of the key, the same ones on every run.
-
-    The counts come from one aggregation over the label column alone.
-    """
+def label_counts(labelled: DataFrame, label: str) -> dict:
+    """Rows of each label, from one aggregation over the label column alone; more than MAX_LABELS labels raise."""
     counts = labelled.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS + 1).collect()
     if len(counts) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} values of {label}")
+    return {r[label]: r["count"] for r in counts}
+
+
+def bounded_sample(labelled: DataFrame, label: str, key: str, rows: int = MAX_TRAINING_ROWS, counts: dict | None = None) -> DataFrame:
+    """About `rows` rows of each label at most, chosen by a hash of the key, the same ones on every run."""
+    counts = label_counts(labelled, label) if counts is None else counts
     if not counts:
         return labelled.where(F.lit(False))
     # one flat map, as a chain of conditions overflows the planner's stack long before MAX_LABELS
-    shares = F.create_map(*(F.lit(x) for r in counts for x in (r[label], min(1.0, rows / r["count"]))))
+    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))))
     return labelled.where(spread(key) < shares[F.col(label)])
