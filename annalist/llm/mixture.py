@@ -1,20 +1,23 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks, in DataFrame operations only.
 
-1. Sizes (words) are summed by source and shard; a source has one shard for about SHARD_TOKENS of its words, chosen
-   by a hash of the document, so a source that holds a third of all rows is many shards.
+1. Sizes (words) are summed by source and shard; a source has one shard for about SHARD_TOKENS of its words, but at most
+   MAX_SHARDS, chosen by a hash of the document, so a source that holds a third of all rows is many shards.
 2. Targets: sources share the mix by weight; a target stops at `most` times its source's size and the excess goes to
    the others by weight. Sorted by size over weight, the sources that stop are a prefix, so one window finds them.
-3. Blocks of BLOCK_TOKENS words go to sources by highest quotients target / (2 n + 1), then a source's blocks go to its
-   shards in the same way. Divisors just above and below the average bracket the last quotient that wins, so only
-   about two candidates a source are ranked, however many blocks there are.
+3. All blocks have the same number of words: a part, one in FINENESS, of the smallest positive target, at least one word
+   and at most BLOCK_TOKENS, so no source's share is lost in rounding. They go to sources by highest quotients
+   target / (2 n + 1), then a source's blocks go to its shards in the same way. Divisors just above and below the average
+   bracket the last quotient that wins, so only about two candidates a source are ranked, however many blocks there are.
 4. Inside a shard the documents are laid end to end in the order of a seeded hash. That stream is read from its start
    until the shard's blocks are full, again and again if they are more than the stream.
 
-The text is read once, to count words; what is kept of it (id, source, size) is cut off by a checkpoint.
+The text is read once, to count words; what is kept of it (id, source, size) is cut off by a checkpoint. Windows over all
+sources and over a source's shards hold one row for each, and no text; a shard's window holds its ids and sizes.
 
-Defined results: null or wordless texts have size 0 and are not taken; null sources are one source, last in order;
-repeated rows are rows of their own; an empty table gives no rows; columns that the method adds win over columns of the
-same names.
+Defined results: null or wordless texts have size 0 and are not taken; a source without words has target 0; null sources
+are one source, last in order; repeated rows are rows of their own, and which of rows with the same id and size comes
+first makes no difference; a very long text is one document, taken whole or in part like others, up to `most` times its
+size; an empty table gives no rows; columns that the method adds win over columns of the same names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from annalist.llm.shared import checkpointed
 
 BLOCK_TOKENS = 512
+FINENESS = 200
 SHARD_TOKENS = 1 << 20
+MAX_SHARDS = 1 << 12
 MOST = 3
 _ADDED = ("size", "source_size", "target", "taken")
 
@@ -77,20 +82,22 @@ def mix_sources(documents: DataFrame, seed: int = 42, text: str = "text", source
     """key, source, size, source_size, target and taken (words that the mix takes, repeats counted) for each document."""
     sized = checkpointed(documents.select(F.col(key).alias("doc"), F.col(source).alias("source"), word_count(text).alias("size")))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most)
-    total = F.sum("source_size").over(Window.partitionBy())
-    blocks = apportion(by_source, "target", F.ceil(total / block_tokens), [], ["source"], "blocks")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("int")
+    every = Window.partitionBy()
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    framed = by_source.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(least / FINENESS))), F.lit(1)).cast("bigint"))
+    blocks = apportion(framed, "target", F.ceil(F.sum("source_size").over(every) / F.col("block")), [], ["source"], "blocks")
+    shards = F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_tokens))).cast("int")
     plan = checkpointed(blocks.withColumn("shards", shards))
 
     doc = sized.alias("d").join(plan.select("source", "shards").alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     doc = doc.select("d.doc", F.col("d.source").alias("source"), "size", F.xxhash64("d.doc", F.lit(seed)).alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "d.doc"), "shards").alias("shard"))
     cells = doc.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
-    cells = cells.alias("c").join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.source", "shard", "cell_size", "source_size", "target", "blocks")
+    cells = cells.alias("c").join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.source", "shard", "cell_size", "source_size", "target", "block", "blocks")
     quotas = apportion(cells, "cell_size", F.col("blocks"), ["source"], ["shard"], "quota")
 
     placed = doc.withColumn("end", F.sum("size").over(Window.partitionBy("source", "shard").orderBy("draw", "doc", "size").rowsBetween(Window.unboundedPreceding, 0)))
     joined = placed.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
-    tokens = F.least(F.col("quota") * block_tokens, F.lit(most) * F.col("cell_size"))
+    tokens = F.least(F.col("quota") * F.col("block"), F.lit(most) * F.col("cell_size"))
     rounds, rest = F.expr("div(tokens, greatest(cell_size, 1))"), F.expr("pmod(tokens, greatest(cell_size, 1))")
     part = F.greatest(F.lit(0), F.least("end", rest) - F.least(F.col("end") - F.col("size"), rest))
     return joined.withColumn("tokens", tokens).select(F.col("doc").alias(key), F.col("d.source").alias(source), "size", "source_size", "target", (F.col("size") * rounds + part).cast("bigint").alias("taken"))
