@@ -1,12 +1,14 @@
 """Quality rules, line first: bad lines go, then documents that lose too much of their text.
 
-Each line is judged alone by punctuation, navigation and boilerplate rules. A document is kept if the lines that pass
-hold at least `min_kept` of its word characters, unless the base rules on words and repetition fail it.
+Each line is judged alone by navigation, boilerplate and punctuation rules, in this order. A document is kept if the
+lines that pass hold at least `min_kept` percent of its word characters, unless the base rules on words and repetition
+fail it.
 
 Each document is judged from its own text, in one pass without a shuffle. Defined results: null, empty and wordless
-texts have no words and fail; lines without a word are neither good nor bad; rows are judged one by one, so repeated
-rows give repeated results; an empty table gives no rows; extra columns pass through, and the columns added win over
-columns of the same names.
+texts have no words and fail; lines without a word are neither good nor bad; a line is equal to an earlier one if all
+its characters are; rows are judged one by one, so repeated rows give repeated results; a very long text is a slice of
+its own, judged whole in time and memory linear in it (but for a sort of its windows); an empty table gives no rows;
+extra columns pass through, and the columns added win over columns of the same names.
 """
 
 from __future__ import annotations
@@ -56,39 +58,41 @@ _ADDED = {
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules; shares are of the line's words or characters.
+    """Limits of the rules; percentages are of the line's words or characters.
 
-    max_symbols: symbols a word; max_shout: words that end in repeated ! or ?; nav_words, nav_marks: a line of at most
-    so many words with at least so many separators is navigation; min_letters: letters or digits among non-blank
+    max_symbols: symbols a hundred words; max_shout: words that end in repeated ! or ?; nav_words, nav_marks: a line of at
+    most so many words with at least so many separators is navigation; min_letters: letters or digits among non-blank
     characters; min_kept: word characters that must be left.
     """
 
-    max_symbols: float = 0.3
-    max_shout: float = 0.5
+    max_symbols: int = 30
+    max_shout: int = 50
     nav_words: int = 12
     nav_marks: int = 3
-    min_letters: float = 0.4
-    min_kept: float = 0.5
+    min_letters: int = 40
+    min_kept: int = 50
 
 
-_SHOUT = re.compile(r"[!?]{2,}(?=\s|$)")
-_NAV = re.compile(r"\s[|>»•·/]\s")
-_MARK = re.compile(r"[^\w\s]|_")
+_BLANK = r"[ \t\x0b\x0c\r]"
+_SHOUT = re.compile(rf"[!?]{{2,}}(?:{_BLANK}|$)")
+_NAV = re.compile(rf"{_BLANK}[|>»•·/]{_BLANK}")
+_MARK = re.compile(r"[^\w \t\x0b\x0c\r]|_")
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
 
 
 def bad_line(line: str, n_words: int, rules: Rules) -> str:
     """The rule a line with words fails, or an empty string."""
-    if sum(map(line.count, SYMBOLS)) > rules.max_symbols * n_words:
+    if n_words <= rules.nav_words:
+        if len(_NAV.findall(line)) >= rules.nav_marks:
+            return "navigation"
+        if _BOILER.search(line.lower()):
+            return "boilerplate"
+    if 100 * sum(map(line.count, SYMBOLS)) > rules.max_symbols * n_words:
         return "symbols"
-    if ("!!" in line or "??" in line or "!?" in line or "?!" in line) and len(_SHOUT.findall(line)) > rules.max_shout * n_words:
+    if ("!!" in line or "??" in line or "!?" in line or "?!" in line) and 100 * len(_SHOUT.findall(line)) > rules.max_shout * n_words:
         return "shout"
-    if n_words <= rules.nav_words and len(_NAV.findall(line)) >= rules.nav_marks:
-        return "navigation"
-    if n_words <= rules.nav_words and _BOILER.search(line.lower()):
-        return "boilerplate"
     blank = sum(map(line.count, " \t\r\x0b\x0c"))
-    if len(_MARK.findall(line)) > (1 - rules.min_letters) * (len(line) - blank):
+    if 100 * len(_MARK.findall(line)) > (100 - rules.min_letters) * (len(line) - blank):
         return "letters"
     return ""
 
@@ -113,7 +117,7 @@ def judge(text: str, n_words: int, n_repeat: int, rules: Rules) -> tuple:
             kept_chars += word_chars(line)
             good.append(line)
     failed = n_words < 50 or 100 * n_repeat > 50 * n_words
-    kept = not failed and kept_chars >= rules.min_kept * chars
+    kept = not failed and 100 * kept_chars >= rules.min_kept * chars
     symbols = sum(map(text.count, SYMBOLS))
     return n_words, chars, symbols, duplicates, n_repeat, bad, kept_chars, failed, kept, "\n".join(good)
 
@@ -153,3 +157,33 @@ def judge_quality(documents: DataFrame, rules: Rules = Rules(), text: str = "tex
     kinds = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.string(): "string"}
     schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"{k} {kinds[v]}" for k, v in added.items())]
     return source.mapInArrow(run, ", ".join(schema))
+
+
+def oracle_sql(rules: Rules = Rules()) -> str:  # noqa: B008
+    """judge_quality(documents, with_text=False) without the text, for DuckDB."""
+    blank = r"[ \t\x0B\x0C\r]"
+    phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+    symbols = "length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT rid, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+ grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) > 2)),
+ again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+ repeats AS (SELECT rid, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
+ parts AS (SELECT rid, line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
+ judged AS (SELECT rid, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+   (n <= {rules.nav_words} AND (len(regexp_extract_all(line, '{blank}[|>»•·/]{blank}')) >= {rules.nav_marks} OR {phrases}))
+   OR 100 * ({symbols}) > {rules.max_symbols} * n
+   OR 100 * len(regexp_extract_all(line, '[!?]{{2,}}({blank}|$)')) > {rules.max_shout} * n
+   OR 100 * length(regexp_replace(line, '[\p{{L}}\p{{N}} \t\x0B\x0C\r]', '', 'g')) > {100 - rules.min_letters} * (length(line) - length(regexp_replace(line, '[^ \t\x0B\x0C\r]', '', 'g'))) AS bad
+  FROM parts WHERE n > 0),
+ lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count_if(bad) AS n_bad_lines, sum(CASE WHEN bad THEN 0 ELSE chars END) AS kept_chars FROM judged GROUP BY rid),
+ counted AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(n_bad_lines, 0) AS n_bad_lines, coalesce(kept_chars, 0) AS kept_chars
+  FROM d JOIN w USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN lines USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+ CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_bad_lines AS BIGINT) AS n_bad_lines, CAST(kept_chars AS BIGINT) AS kept_chars,
+ n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= {rules.min_kept} * word_chars AS kept
+FROM counted
+"""
