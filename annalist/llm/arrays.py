@@ -6,7 +6,7 @@ found in bytes are the words found in code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,20 +47,16 @@ _inverses = np.ones(1, dtype=_U)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to n."""
+    """Powers of the base and of its inverse modulo 2**64, for n bytes, which are at most SLICE_BYTES or a bit more."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, SLICE_BYTES + 1)
 
         def run(base: int) -> np.ndarray:
-            steps = np.full(size, base, dtype=_U)
+            steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=_U)
             steps[0] = 1
             return np.multiply.accumulate(steps)
 
-        powers, inverses = run(_BASE), run(pow(_BASE, -1, 1 << 64))
-        if size > 8 * SLICE_BYTES:  # one huge text does not pin its tables
-            return powers, inverses
-        _powers, _inverses = powers, inverses
+        _powers, _inverses = run(_BASE), run(pow(_BASE, -1, 1 << 64))
     return _powers, _inverses
 
 
@@ -117,19 +113,20 @@ class Words:
     first: np.ndarray
     offsets: np.ndarray
     raw: np.ndarray
-    sums: np.ndarray
-
-    def prefixes(self, n: int) -> np.ndarray:
-        """For each word the hash of its first n bytes, which is that of a word of these bytes; 0 for shorter words."""
-        long = self.ends - self.starts >= n
-        starts = np.where(long, self.starts, 0)
-        _, inverses = _power_tables(len(self.raw) + 1)
-        ends = np.minimum(starts + n, len(self.raw))
-        return np.where(long, mix((self.sums[ends] - self.sums[starts]) * inverses[starts] + _U(n)), _U(0))
-
-    def rows(self) -> np.ndarray:
-        """The row of each word."""
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+    fold: np.ndarray
+
+    def prefixes(self, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size n, in order, the hash of each word's first n bytes, which is that of a word of these bytes; 0 for
+        shorter words."""
+        sums = np.zeros(len(self.starts), dtype=_U)
+        length = self.ends - self.starts
+        powers, done = _power_tables(max(sizes, default=0) + 1)[0], 0
+        for n in sizes:
+            for j in range(done, n):
+                at = np.minimum(self.starts + j, max(0, len(self.raw) - 1))
+                sums += (self.fold[self.raw[at]].astype(_U) + _U(1)) * powers[j]
+            done = n
+            yield n, np.where(length >= n, mix(sums + _U(n)), _U(0))
 
 
 def words(column: pa.Array, inside: np.ndarray, fold: np.ndarray = AS_IS) -> Words:
@@ -138,7 +135,7 @@ def words(column: pa.Array, inside: np.ndarray, fold: np.ndarray = AS_IS) -> Wor
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, _U), np.zeros(len(offsets), np.int64), offsets, raw, np.zeros(1, _U))
+        return Words(none, none, np.zeros(0, _U), np.zeros(len(offsets), np.int64), offsets, raw, fold)
     in_word = inside[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -147,11 +144,35 @@ def words(column: pa.Array, inside: np.ndarray, fold: np.ndarray = AS_IS) -> Wor
     finishes = in_word.copy()
     finishes[:-1] &= ~in_word[1:] | edge[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    powers, inverses = _power_tables(n + 1)
-    sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum((fold[raw].astype(_U) + _U(1)) * powers[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U))
-    return Words(starts, ends, hashes, np.searchsorted(starts, offsets), offsets, raw, sums)
+    return Words(starts, ends, _hashes(raw, starts, ends, fold), np.searchsorted(starts, offsets), offsets, raw, fold)
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, computed for about SLICE_BYTES at a time, so a long text needs no long tables."""
+    out = np.zeros(len(starts), dtype=_U)
+    a = 0
+    while a < len(starts):
+        base = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        if ends[b - 1] - base > SLICE_BYTES:  # one word
+            out[a] = _long_sum(fold, raw[base : ends[a]]) + _U(ends[a] - base)
+        else:
+            part = fold[raw[base : ends[b - 1]]].astype(_U) + _U(1)
+            powers, inverses = _power_tables(len(part) + 1)
+            sums = np.zeros(len(part) + 1, dtype=_U)
+            np.cumsum(part * powers[: len(part)], out=sums[1:])
+            s, e = starts[a:b] - base, ends[a:b] - base
+            out[a:b] = (sums[e] - sums[s]) * inverses[s] + (e - s).astype(_U)
+        a = b
+    return mix(out)
+
+
+def _long_sum(fold: np.ndarray, word: np.ndarray) -> np.uint64:
+    powers, total = _power_tables(SLICE_BYTES + 1)[0], 0
+    for at in range(0, len(word), SLICE_BYTES):
+        part = fold[word[at : at + SLICE_BYTES]].astype(_U) + _U(1)
+        total += int((part * powers[: len(part)]).sum()) * pow(_BASE, at, 1 << 64)
+    return _U(total % (1 << 64))
 
 
 def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +197,3 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             short = mix_int(short + int(x) + j)
         out[begin[row]] = mix_int(short ^ int(per_row[row]))
     return out, begin
-
-
-def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([], schema=schema)

@@ -1,21 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four transducers run one after the other over the words of a clause. The lexical one maps words to insult, threat,
-target, negation and report symbols with weights; the negation one cancels what follows a negation within a few
-words; the reported-speech one dampens what stands after a reporting verb; the target one strengthens what stands
-beside a target. What remains is the clause's weight, and a document is scored from the weights of its clauses, not
-from isolated words.
+The words of a clause become symbols: insult, threat, target, negation, report or none of them. Four transducers, given
+as arcs of states, read them one after the other and are composed to one automaton (`transducers`):
 
-Lexical weights and the final logistic model are learned from a bounded sample of labelled rows. All texts are scored
+* negation writes a plain symbol for insults and threats within SCOPE words after a negation;
+* reported speech dampens what stands after a reporting verb;
+* target guesses, for each insult or threat that no target precedes within SCOPE words, whether one follows within SCOPE
+  words, writes it as aimed or aimless, and drops the path if the guess was wrong;
+* matching takes aimed insults at more than their weight, aimless threats at a fraction.
+
+The automaton has a bounded number of states and its guesses live for SCOPE words, so a clause of any length takes time
+in proportion to it. The weight of its one accepted path is the clause's, and a document is scored from the weights of
+its clauses, not from isolated words.
+
+The lexicon, from words and first bytes of words to symbols with weights, starts from a few seed words; its weights, the
+further insults and the final logistic model are learned from a bounded sample of labelled rows. All texts are scored
 whole, in numpy slices: a word is looked up by its hash, and only the few words that carry a symbol reach Python.
 
 Defined results: null, empty and wordless texts get the score of a text without matches; labels repeated for a
-document count as toxic if one is; without labels the seed lexicon's weights are used; rows are scored one by one; an
-empty table gives no rows; extra columns pass through, and the columns added win over columns of the same names.
+document count as toxic if one is; without labels the seed lexicon's weights are used; of a word and its stems the
+heaviest entry counts; rows are scored one by one, repeated or not; a very long text, or one without an end mark, is
+scored whole; an empty table gives no rows; extra columns pass through, and the columns added win over columns of the
+same names.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +37,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm.arrays import ALNUM, LOWER, Words, slices, words
 from annalist.llm.learning import MAX_TRAINING_ROWS, bounded_sample
+from annalist.llm.transducers import Automaton, Transducer, compose
 
 # The seed lexicon, one word each.
 INSULTS = ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "fool", "fools", "imbecile", "loser", "losers", "pathetic", "scum", "worthless", "trash", "clown", "clowns", "disgusting", "filth", "vermin", "ugly", "bastard", "coward", "liar", "freak", "creep", "garbage", "retard", "bitch", "asshole", "shit", "fuck", "fucking"]
@@ -34,9 +46,13 @@ TARGETS = ["you", "your", "yours", "youre", "u", "ur", "he", "she", "they", "the
 NEGATIONS = ["not", "no", "never", "without", "isn", "aren", "wasn", "weren", "don", "doesn", "didn", "won", "hardly", "neither"]
 REPORTS = ["said", "says", "say", "called", "calls", "wrote", "writes", "quoted", "quote", "claimed", "claims", "reported", "alleged", "according", "told"]
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
-_NO_TARGET_THREAT = 0.25
-_SCOPE = 4
+INSULT, THREAT, TARGET, NEGATION, REPORT, PLAIN = range(6)
+#: What the target transducer writes for insults and threats.
+_AIMED_INSULT, _INSULT, _AIMED_THREAT, _THREAT = range(6, 10)
+SCOPE = 4
+#: Factors of a word's weight.
+REPORTED = 0.3
+AIMED_INSULT, AIMLESS_THREAT = 1.5, 0.25
 _FEATURES = 4
 #: Words and stems (first bytes of words) that may be learned, the share of the sampled toxic documents that has to hold
 #: one, the least log-odds, and the least number of words that it follows, as copies of one text say little.
@@ -50,7 +66,7 @@ _ENDS[list(b".!?;:\n")] = True
 
 
 def seeds() -> dict[str, tuple[int, float]]:
-    out = {w: (TARGET, 0.5) for w in TARGETS} | {w: (NEGATION, 0.0) for w in NEGATIONS} | {w: (REPORT, 0.3) for w in REPORTS}
+    out = {w: (TARGET, 0.0) for w in TARGETS} | {w: (NEGATION, 0.0) for w in NEGATIONS} | {w: (REPORT, 0.0) for w in REPORTS}
     return out | {w: (THREAT, 1.5) for w in THREATS} | {w: (INSULT, 2.0) for w in INSULTS}
 
 
@@ -71,9 +87,10 @@ class Grammar:
     def symbols(self, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words that carry a symbol, the symbols and their weights."""
         symbol, weight = self.words.find(found.hashes)
-        for n, lookup in self.by_stem.items():
+        for n, hashes in found.prefixes(STEMS if self.stems else ()):
+            lookup = self.by_stem[n]
             if len(lookup.hashes):
-                other, heavier = lookup.find(found.prefixes(n))
+                other, heavier = lookup.find(hashes)
                 better = (other >= 0) & ((symbol < 0) | (heavier > weight) & (symbol <= THREAT))
                 symbol, weight = np.where(better, other, symbol), np.where(better, heavier, weight)
         at = np.flatnonzero(symbol >= 0)
@@ -99,27 +116,63 @@ class _Lookup:
         return np.where(known, self.symbol[number], -1), np.where(known, self.weight[number], 0.0)
 
 
-def clause_weight(symbols: list[tuple[int, int, float]]) -> float:
-    """What the transducers leave of a clause, given as (word number, symbol, weight)."""
-    total, negated, reported, target = 0.0, -_SCOPE - 1, 1.0, -_SCOPE - 1
-    ahead = [w for w, s, _ in symbols if s == TARGET]
-    for at, symbol, weight in symbols:
+def _negation() -> Transducer:
+    """State: words that the last negation still covers."""
+
+    def arcs(left: int, symbol: int):
         if symbol == NEGATION:
-            negated = at
-        elif symbol == REPORT:
-            reported = weight
-        elif symbol == TARGET:
-            target = at
-        else:
-            aimed = at - target <= _SCOPE or any(0 < w - at <= _SCOPE for w in ahead)
-            if symbol == THREAT:
-                weight *= 1.0 if aimed else _NO_TARGET_THREAT
-            elif aimed:
-                weight *= 1.5
-            if 0 < at - negated <= _SCOPE:
-                weight = 0.0
-            total += weight * reported
-    return total
+            return [(PLAIN, 1.0, SCOPE)]
+        return [(PLAIN if left and symbol <= THREAT else symbol, 1.0, max(0, left - 1))]
+
+    return Transducer(0, arcs)
+
+
+def _reported() -> Transducer:
+    """State: whether a reporting verb stood before."""
+
+    def arcs(reported: bool, symbol: int):
+        if symbol == REPORT:
+            return [(PLAIN, 1.0, True)]
+        return [(symbol, REPORTED if reported and symbol <= THREAT else 1.0, reported)]
+
+    return Transducer(False, arcs)
+
+
+def _target() -> Transducer:
+    """State: words that the last target still covers, words within which a target has to come (0: it need not), and
+    words within which none may."""
+
+    def arcs(state: tuple[int, int, int], symbol: int):
+        behind, must, never = state
+        if symbol == TARGET:
+            return [] if never else [(PLAIN, 1.0, (SCOPE, 0, 0))]
+        if must == 1:
+            return []  # too late for the target that was guessed
+        after = max(0, behind - 1), max(0, must - 1), max(0, never - 1)
+        if symbol > THREAT:
+            return [(symbol, 1.0, after)]
+        aimed, aimless = (_AIMED_INSULT, _INSULT) if symbol == INSULT else (_AIMED_THREAT, _THREAT)
+        if behind:
+            return [(aimed, 1.0, after)]
+        # a target that must come in time for this word: the earliest deadline stays
+        soon = after[1] or SCOPE
+        guesses = [(aimed, 1.0, (after[0], soon, after[2]))] if soon > after[2] else []
+        return guesses + ([] if after[1] else [(aimless, 1.0, (after[0], 0, SCOPE))])
+
+    return Transducer((0, 0, 0), arcs, lambda state: not state[1])
+
+
+def _matching() -> Transducer:
+    factors = {_AIMED_INSULT: AIMED_INSULT, _INSULT: 1.0, _AIMED_THREAT: 1.0, _THREAT: AIMLESS_THREAT}
+    return Transducer(0, lambda state, symbol: [(symbol, factors.get(symbol, 0.0), 0)])
+
+
+CASCADE = (_negation(), _reported(), _target(), _matching())
+
+
+@functools.cache
+def grammar_automaton() -> Automaton:
+    return Automaton(functools.reduce(compose, CASCADE), PLAIN + 1, PLAIN, SCOPE + 1)
 
 
 def features(column: pa.Array, grammar: Grammar) -> np.ndarray:
@@ -143,7 +196,7 @@ def features(column: pa.Array, grammar: Grammar) -> np.ndarray:
     edges = np.append(np.flatnonzero(fresh), len(at))
     symbols = list(zip(at.tolist(), symbol.tolist(), weight.tolist(), strict=True))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        left = clause_weight(symbols[a:b])
+        left = grammar_automaton().weight(symbols[a:b])
         r = row[a]
         out[r, 0] = max(out[r, 0], left)
         out[r, 1] += left
