@@ -215,15 +215,15 @@ def test_decontamination_holds_one_block(spark, monkeypatch):
 
     documents = spark.createDataFrame([], "doc_id bigint, text string")
     benchmark = spark.createDataFrame([(str(i), f"w{i} x y z") for i in range(40)], "item_id string, text string")
-    captured, live, plain_matches = [], [], decontaminate.matches_of
+    captured, live, plain_hits = [], [], decontaminate.hits_of
     monkeypatch.setattr(type(documents), "mapInArrow", lambda self, f, schema: captured.append(f))
     decontaminate.find_contamination(documents, benchmark, window=4, block_chars=80)
 
     def watched(found, tests):
         live.append(sum(isinstance(x, decontaminate.TestSuffixes) for x in gc.get_objects()))
-        return plain_matches(found, tests)
+        return plain_hits(found, tests)
 
-    monkeypatch.setattr(decontaminate, "matches_of", watched)
+    monkeypatch.setattr(decontaminate, "hits_of", watched)
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a w3 x y z b", "w39 x y z w0 x y z"]})
     rows = [r for out in captured[0](iter([batch])) for r in out.to_pylist()]
     assert [(r["n_hit"], r["items"]) for r in rows] == [(4, ["3"]), (8, ["0", "39"])]
@@ -295,7 +295,7 @@ def test_chat_hostile(spark, monkeypatch):
     texts = ["<|end|>", "<\\|turn|>x<\\\\|text|>", " lead", "trail ", "\n\n", "日本\U0001f600", "", None, "<|endoftext|>", "<", "|>", "<\\", "<" * 50 + "|"]
     rows = [(1, i, "assistant" if i % 2 else "user<|text|>", t) for i, t in enumerate(texts * 2)] + [(None, None, None, None), (2, 1, "assistant", "tie"), (2, 1, "assistant", "tie")]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r.conv_id: r for r in chat.format_conversations(frame).mapInArrow(queries._read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint").collect()}
+    got = {r.conv_id: r for r in queries.read_back(chat.format_conversations(frame)).collect()}
     turns = [(r, t or "") for _, _, r, t in rows[: 2 * len(texts)]]
     assert (got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == plain_chat(turns)
     assert got[None].n_turns == 1 and got[2].n_turns == 2 and got[2].loss_chars == 6
