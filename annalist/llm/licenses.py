@@ -6,13 +6,17 @@ lower bound. Single-row MinHash bands, as many as make a miss less likely than M
 window by an equi-join; exact shingle containment then verifies each match.
 
 Before that, anchors are derived from the templates: words such that whoever holds `containment` of a template's
-shingles holds one of them. Documents and windows without an anchor cannot match and cost a substring search.
+shingles holds one of them. Documents and windows without an anchor cannot match and cost a substring search. The words
+of a document are cut to chunks of CHUNK window starts, each a row with the words its windows reach, so only the windows
+of one chunk, and of those only the ones around anchors, exist at a time.
 
 What is joined is broadcast: the bands of the templates, which are parameters and not data (MAX_TEMPLATES). A
 document is matched by itself; only matches are shuffled, after partial aggregation.
 
 Defined results: null, empty and short texts match nothing; documents without a match have no row; rows that share a
-doc_id (a null one too) give one row; an empty table gives no rows; other columns are dropped.
+doc_id (a null one too) give one row, in which windows at the same word count once; a very long text is scanned whole,
+chunk by chunk, in memory linear in it; a window that matches several templates counts for each; an empty table gives
+no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SHINGLE = 5
 CONTAINMENT = 80  # percent
 MISS = 1e-6
 MAX_TEMPLATES = 10_000
+#: Words of a document at which the windows of one row may start.
+CHUNK = 1024
 
 # Statements by which texts name their license.
 TEMPLATES = [
@@ -120,18 +126,26 @@ def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = t
         hint = hint | F.contains(F.col("folded"), F.lit(a))
     texts = documents.select(F.col(key).alias("key"), _folded(text).alias("folded")).where(hint)
     texts = texts.select("key", F.filter(F.split("folded", _SEPARATORS), lambda w: w != "").alias("words"))
+    reach = CHUNK + max(layout(length)[0] for length in lengths)
+    begins = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(CHUNK))
+    chunks = texts.select("key", F.inline(F.transform(begins, lambda b: F.struct(b.alias("base"), F.slice("words", b + 1, reach).alias("own")))))
+    wanted = F.array(*map(F.lit, found))
+    hits = F.filter(F.transform("own", lambda w, i: F.when(F.array_contains(wanted, w), i)), lambda i: i.isNotNull())
+    hit = chunks.withColumn("hits", F.transform(hits, lambda i: F.col("base") + i)).where(F.size("hits") > 0)
 
     def windows(length: int) -> Column:
+        """The windows that start in the chunk and hold an anchor."""
         size, stride = layout(length)
-        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(stride))
-        cut = F.transform(starts, lambda s: F.struct(F.lit(length).alias("length"), s.alias("first_word"), F.slice("words", s + 1, size).alias("window")))
-        return F.filter(cut, lambda w: F.arrays_overlap(w["window"], F.array(*map(F.lit, found))))
+        numbers = F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - size + 1) / stride)).cast("int"), F.floor(p / stride).cast("int")))
+        starts = F.transform(F.array_distinct(F.flatten(numbers)), lambda k: k * stride)
+        own = F.filter(starts, lambda s: (s >= F.col("base")) & (s < F.col("base") + CHUNK))
+        return F.transform(own, lambda s: F.struct(F.lit(length).alias("length"), s.alias("first_word"), F.slice("own", s - F.col("base") + 1, size).alias("window")))
 
-    cut = texts.select("key", F.inline(F.concat(*map(windows, lengths)))).withColumn("shingles", _shingles(F.col("window"))).where(F.size("shingles") > 0)
+    cut = hit.select("key", F.inline(F.concat(*map(windows, lengths)))).withColumn("shingles", _shingles(F.col("window"))).where(F.size("shingles") > 0)
     probes = cut.select("key", "length", "first_word", "shingles", F.explode(_bands(F.col("shingles"), n, seed)).alias("band"))
-    hits = probes.join(F.broadcast(_templates(documents.sparkSession, templates, n, seed)), ["length", "band"])
-    sure = hits.where(100 * F.size(F.array_intersect("shingles", "wanted")) >= containment * F.size("wanted"))
-    return sure.groupBy(F.col("key").alias(key), "license").agg(F.size(F.collect_set("first_word")).cast("bigint").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word"))
+    held = probes.join(F.broadcast(_templates(documents.sparkSession, templates, n, seed)), ["length", "band"])
+    sure = held.where(100 * F.size(F.array_intersect("shingles", "wanted")) >= containment * F.size("wanted"))
+    return sure.groupBy(F.col("key").alias(key), "license").agg(F.count_distinct("first_word").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word"))
 
 
 def oracle_sql(templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), containment: int = CONTAINMENT) -> str:
