@@ -2,11 +2,13 @@
 
 A document's text is cut to pre-tokens, and a segment tree over them holds sums of characters and tokens. An edit
 finds its place by descending the tree, re-cuts only the pre-tokens it touches plus the context whose cut could depend
-on it, re-encodes those, and updates the sums on the paths above.
+on it, re-encodes those, and updates the sums on the paths above the leaves it touches. All sums are built anew only
+after an edit has made leaves several times larger.
 
 Documents are counted in one pass without a shuffle. Defined results: null and empty texts have no tokens; edits are
-in characters of the text as it is when they are applied, and are clipped to it; rows are counted one by one; an
-empty table gives no rows; extra columns pass through, and the columns added win over columns of the same names.
+in characters of the text as it is when they are applied, and are clipped to it; rows are counted one by one, repeated
+or not; a very long text has one tree, in memory linear in it; an empty table gives no rows; extra columns pass through,
+and the columns added win over columns of the same names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 Edit = tuple[int, int, str]  # start, end, replacement
 #: Characters beyond its end that the cut of a pre-token can depend on (a contraction looks two ahead).
 _LOOK_AHEAD = 3
-#: Pre-tokens whose counts a worker remembers.
+#: Pre-tokens whose counts a worker remembers: at least half as many of those met last.
 _MEMORY = 1 << 18
 #: Pre-tokens of a leaf.
 _LEAF = 32
@@ -35,22 +37,24 @@ _cut = regex.compile(vocabulary.PATTERN)
 
 
 class Counter:
-    """Token counts of single pre-tokens, remembered up to a bound."""
+    """Token counts of single pre-tokens. When the newer half of the memory is full, it becomes the older half."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode, self.known = encode, {}
+        self.encode, self.known, self.older = encode, {}, {}
 
     def many(self, pieces: list[str]) -> list[int]:
-        known = self.known
-        if len(known) > _MEMORY:
-            known.clear()
+        if len(self.known) > _MEMORY // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         out = list(map(known.get, pieces))
         if None in out:
             for i, (p, n) in enumerate(zip(pieces, out, strict=True)):
                 if n is None:
                     n = known.get(p)
                     if n is None:
-                        n = len(self.encode(p))
+                        n = older.get(p)
+                        if n is None:
+                            n = len(self.encode(p))
                         if len(p) <= 64:
                             known[p] = n
                     out[i] = n
@@ -118,9 +122,8 @@ class DocumentTree:
         start, end = max(0, min(start, size)), max(0, min(end, size))
         end = max(start, end)
         if not self.leaves:
-            self.__init__(new, self.counter)
-            self.reencoded += self.n_pieces
-            return
+            self.leaves = [([], [])]
+            self._grow()
         first, before = self._find(max(0, start - _LOOK_AHEAD))
         pieces, counts = self.leaves[first]
         at, head = before, 0
@@ -168,15 +171,18 @@ class DocumentTree:
             take = stop + 16
         self.reencoded += len(cut)
         fresh = self.counter.many(cut)
-        left = pieces[:head], counts[:head]
-        right = self.leaves[last][0][tail:], self.leaves[last][1][tail:]
-        self.leaves[first] = (left[0] + cut + right[0], left[1] + fresh + right[1])
-        if last > first or len(self.leaves[first][0]) > 8 * _LEAF or not self.leaves[first][0]:
-            merged = self.leaves[first]
-            self.leaves[first : last + 1] = [(merged[0][i : i + _LEAF], merged[1][i : i + _LEAF]) for i in range(0, len(merged[0]), _LEAF)]
+        rest, rest_counts = self.leaves[last]
+        merged, sums = pieces[:head] + cut + rest[tail:], counts[:head] + fresh + rest_counts[tail:]
+        n = last - first + 1
+        if len(merged) > 8 * _LEAF * n:
+            self.leaves[first : last + 1] = [(merged[i : i + _LEAF], sums[i : i + _LEAF]) for i in range(0, len(merged), _LEAF)]
             self._grow()
-        else:
-            self._update(first)
+            return
+        # the same leaves take what there is now in equal parts, so only the paths above them change
+        for k in range(n):
+            a, b = len(merged) * k // n, len(merged) * (k + 1) // n
+            self.leaves[first + k] = merged[a:b], sums[a:b]
+            self._update(first + k)
 
 
 def count_tokens(documents: DataFrame, edits: Callable[[str], list[Edit]] | None = None, text: str = "text", name: str = VOCABULARY, folder: str = vocabulary.FOLDER) -> DataFrame:
