@@ -9,13 +9,15 @@ once it has SEGMENT_CHARS characters, so a conversation of any number of turns t
 tokens end each turn, the segments' tokens are those of the whole.
 
 Defined results: null roles and texts are empty; turns go by turn (null first), then role, then text, and repeated
-rows are repeated turns; rows without a conv_id are one conversation; an empty table gives no rows; other columns are
-dropped.
+rows are repeated turns; rows without a conv_id are one conversation; a turn is never cut, so a very long one is a
+segment of its own, encoded whole; a conversation without turns has no row; an empty table gives no rows; other columns
+are dropped.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -74,7 +76,7 @@ def render(turns: list[tuple[str, str]], role: str = LEARNED_ROLE) -> tuple[str,
 def encode(formatted: str, spans: list[tuple[int, int]], encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token ids, starts, ends and mask; a token is learned if it lies inside a span."""
     tokens = encoder.encode(formatted, add_special_tokens=False)
-    offsets = np.array(tokens.offsets, np.int32).reshape(-1, 2)
+    offsets = np.fromiter(itertools.chain.from_iterable(tokens.offsets), np.int32, 2 * len(tokens)).reshape(-1, 2)
     starts, ends = offsets[:, 0], offsets[:, 1]
     mask = np.zeros(len(starts), dtype=bool)
     if spans:
@@ -113,12 +115,11 @@ def format_conversations(conversations: DataFrame, role: str = LEARNED_ROLE, nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(shared.value)
-        done: list[dict] = []
+        done: list[tuple] = []
 
         def close(conv, segment, turns):
             formatted, spans = render(turns, role)
-            ids, starts, ends, mask = encode(formatted, spans, encoder)
-            done.append(dict(zip(_ARROW.names, (conv, segment, len(turns), formatted, ids, starts, ends, mask), strict=True)))
+            done.append((conv, segment, len(turns), formatted, *encode(formatted, spans, encoder)))
 
         current, segment, turns, size, held = (None,), 0, [], 0, 0
         for part in slices(batches, "text"):
@@ -130,7 +131,7 @@ def format_conversations(conversations: DataFrame, role: str = LEARNED_ROLE, nam
                     segment = segment + 1 if (conv,) == current else 0
                     current, turns, size = (conv,), [], 0
                     if held >= SEGMENT_CHARS:
-                        yield pa.RecordBatch.from_pylist(done, schema=_ARROW)
+                        yield _batch(done)
                         done.clear()
                         held = 0
                 turns.append((who, text))
@@ -138,6 +139,18 @@ def format_conversations(conversations: DataFrame, role: str = LEARNED_ROLE, nam
         if turns:
             close(*current, segment, turns)
         if done:
-            yield pa.RecordBatch.from_pylist(done, schema=_ARROW)
+            yield _batch(done)
 
     return dealt.mapInArrow(run, SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of plain values and numpy arrays as a batch, without Python objects for the arrays' values."""
+    columns = []
+    for values, kind in zip(zip(*rows, strict=True), _ARROW.types, strict=True):
+        if pa.types.is_list(kind):
+            edges = np.cumsum([0, *map(len, values)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(values), kind.value_type)))
+        else:
+            columns.append(pa.array(values, kind))
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
