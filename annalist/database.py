@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from annalist.functions.columns import INDEX, SUBJECT
 from annalist.operators.groups import grouped, records
+from annalist.operators.stats import value_dictionary
 from annalist.operators.timeline import lookup, missing_subjects, with_positions
+from annalist.sources import files
 from annalist.sources.convert import read_header
 from annalist.subject import Event, Subject
 
@@ -63,6 +65,13 @@ class SubjectDatabase:
         every = self.spark.read.parquet(f"{self.path_to_database}/subjects")
         return every if self._ids is None else every.join(self._ids.select(SUBJECT), SUBJECT, "left_semi")
 
+    def dictionary(self, name: str) -> DataFrame:
+        """idx, value and n of the property's values that more than one subject of the database has: stored, or made now."""
+        if name not in self._properties:
+            raise AttributeError(f"no property {name!r}")
+        stored = f"{self.path_to_database}/dictionary/{name}"
+        return self.spark.read.parquet(stored) if files.exists(self.spark, stored) else value_dictionary(self.all_events, name)
+
     def __len__(self) -> int:
         """The number of subjects; of a view, of the ids it was made with."""
         return (self.subjects if self._ids is None else self._ids).count()

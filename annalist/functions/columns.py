@@ -23,3 +23,13 @@ def micros_between(earlier: Column, later: Column) -> Column:
 def whole(dividend: Column, divisor: int) -> Column:
     """The quotient of integers, cut off towards zero."""
     return F.call_function("div", dividend, F.lit(divisor).cast("bigint"))
+
+
+def next_power_of_two(c: Column) -> Column:
+    """The least power of two that is not below a positive whole number."""
+    return F.when(c <= 1, F.lit(1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(c - 1))))
+
+
+def hash_part(c: Column, parts: int) -> Column:
+    """A number from 0 to parts - 1 for a value, which any engine that has md5 can compute."""
+    return F.pmod(F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(parts)).cast("int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +47,3 @@ def event_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 def keep_subjects_with(events: DataFrame, least: int) -> DataFrame:
     """The events of subjects that have `least` events or more."""
     return events.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(SUBJECT))).where(F.col("_n") >= least).drop("_n")
-
-
-def union_all(*tables: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)

@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from annalist.functions.columns import INDEX, MICROS_PER_DAY, SUBJECT, micros_between, whole
+from annalist.functions.columns import INDEX, MICROS_PER_DAY, SUBJECT, hash_part, micros_between, whole
 from annalist.operators.timeline import with_positions
 from annalist.sources.schema import property_names
 
 RUN_CHUNK = 15
+#: Bytes of a value, where they are not 8.
+WIDTHS = {"byte": 1, "short": 2, "integer": 4, "float": 4}
 
 
 def value_counts(events: DataFrame, name: str) -> DataFrame:
@@ -91,11 +94,18 @@ def restored_times(deltas: DataFrame, starts: DataFrame) -> DataFrame:
     return deltas.withColumn("_us", total).join(starts, SUBJECT).select(SUBJECT, INDEX, F.timestamp_add("MICROSECOND", F.col("_us"), F.col("start")).alias("time"))
 
 
-def sample_subjects(events: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """All events of about that share of the subjects, the same ones on every run."""
-    return events.where(F.pmod(F.xxhash64(SUBJECT, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def sample_subjects(events: DataFrame, one_in: int) -> DataFrame:
+    """All events of about one in so many subjects, the same ones on every run."""
+    return events.where(hash_part(F.col(SUBJECT), one_in) == 0)
 
 
-def hash_part(column: str | Column, parts: int) -> Column:
-    """A partition number for a value."""
-    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+def size_estimate(events: DataFrame) -> DataFrame:
+    """property and bytes: what the non-null values of each property take before they are encoded, from one aggregation."""
+    names = property_names(events)
+
+    def size(name: str) -> Column:
+        kind = events.schema[name].dataType
+        width = F.octet_length(name) if isinstance(kind, T.StringType) else F.when(F.col(name).isNotNull(), F.lit(WIDTHS.get(kind.typeName(), 8)))
+        return F.coalesce(F.sum(width.cast("bigint")), F.lit(0).cast("bigint"))
+
+    return events.agg(*(size(n).alias(n) for n in names)).unpivot([], names, "property", "bytes")

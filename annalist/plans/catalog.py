@@ -5,39 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.columns import INDEX, SUBJECT, empty_to_null
 from annalist.operators import joins, stats, validate
 from annalist.operators import timeline as ops
 from annalist.operators.groups import grouped, records
-from annalist.plans import roundtrip
+from annalist.plans.registry import ORACLES, QUERIES, query
 from annalist.plans.timeline import raw_events, table, timeline
 from annalist.sources.schema import project_to
 from annalist.streaming import counts as streams
 from annalist.subject import rows_from_subject, subject_from_rows
 
-PRELUDE = """
-WITH raw AS (SELECT c_custkey AS subject_id, NULL AS time, 'SEGMENT//' || c_mktsegment AS code, c_acctbal AS numeric_value, NULL AS priority, NULL AS src_id FROM customer
- UNION ALL SELECT o_custkey, o_orderdate, 'ORDER//' || o_orderstatus, o_totalprice, o_orderpriority, o_orderkey FROM orders),
- ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY time NULLS FIRST, src_id NULLS FIRST) - 1 AS BIGINT) AS event_index FROM raw)
-"""
 PROPERTIES = ["code", "numeric_value", "priority", "time"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str, prelude: bool = True):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (PRELUDE if prelude else "") + sql
-        return f
-
-    return register
-
 
 @query("SELECT count(DISTINCT subject_id) AS n_subjects FROM ev")
 def subject_count(spark, d):
@@ -295,43 +277,12 @@ def stream_windowed_counts(spark, d):
     return done.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("SELECT subject_id, event_index, time, code, numeric_value, priority, CAST(src_id AS BIGINT) AS src_id FROM ev")
-def convert_and_read(spark, d):
-    return roundtrip.timeline_database(spark, d).events.select(SUBJECT, INDEX, "time", "code", "numeric_value", "priority", "src_id")
-
-
-@query("SELECT subject_id, count(*) AS n_events FROM ev GROUP BY subject_id")
-def convert_and_count(spark, d):
-    return roundtrip.timeline_database(spark, d).subjects
-
-
-@query("SELECT subject_id, count(*) AS n_events, max(CASE WHEN event_index = n - 1 THEN code END) AS last_code FROM (SELECT *, count(*) OVER (PARTITION BY subject_id) AS n FROM ev) t GROUP BY subject_id")
-def map_subjects(spark, d):
-    rows = lambda s: [{SUBJECT: s.subject_id, "n_events": len(s.events), "last_code": s.events[-1].code}]
-    return roundtrip.timeline_database(spark, d).map_to_df(rows, "subject_id bigint, n_events bigint, last_code string", properties=["code"])
-
-
-@query("SELECT CAST(part AS BIGINT) AS part, count(*) AS n_subjects, min(subject_id) AS lo, max(subject_id) AS hi, CAST(sum(n) AS BIGINT) AS n_events FROM (SELECT subject_id, n, ntile(4) OVER (ORDER BY subject_id) AS part FROM (SELECT subject_id, count(*) AS n FROM ev GROUP BY subject_id) s) t GROUP BY part")
-def map_function(spark, d):
-    return roundtrip.mapped_parts(spark, d)
-
-
-@query("SELECT count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_prior FROM (SELECT d.row_id, count(ev.event_index) AS n FROM (SELECT o_custkey AS subject_id, o_orderkey AS row_id, o_orderdate AS cutoff FROM orders WHERE o_orderpriority LIKE '1%') d LEFT JOIN ev ON ev.subject_id = d.subject_id AND ev.time < d.cutoff GROUP BY d.row_id) t")
-def map_with_data_function(spark, d):
-    return roundtrip.mapped_pairs(spark, d)
-
-
-@query("SELECT subject_id * 10 AS subject_id, event_index, code FROM ev")
-def transform_and_convert(spark, d):
-    return roundtrip.scaled_database(spark, d).events.select(SUBJECT, INDEX, "code")
+@query("SELECT subject_id, event_index, code FROM ev WHERE ('0x' || substr(md5(CAST(subject_id AS VARCHAR)), 1, 8))::BIGINT % 10 = 0")
+def subject_sample(spark, d):
+    """All events of about a tenth of the subjects, by a hash of the id."""
+    return stats.sample_subjects(timeline(spark, d), 10).select(SUBJECT, INDEX, "code")
 
 
-@query("SELECT subject_id, event_index, code FROM ev WHERE subject_id IN (1, 32, 64)")
-def subset_and_read(spark, d):
-    return roundtrip.cut_database(spark, d, [64, 1, 32]).events.select(SUBJECT, INDEX, "code")
+from annalist.plans import database_queries  # noqa: E402, F401  registers the queries that go through files
 
-
-@query("")
-def subject_sample(spark, d):
-    """All events of about a tenth of the subjects, by a hash of the id: not expressible in the other engine's SQL."""
-    return stats.sample_subjects(timeline(spark, d), 0.1).select(SUBJECT, INDEX, "code")
+__all__ = ["ORACLES", "QUERIES"]

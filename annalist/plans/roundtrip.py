@@ -1,38 +1,87 @@
-"""The customer timeline as files: a dataset, its database, rewritten and cut ones."""
+"""The customer timeline as files: a dataset, its database, rewritten and cut ones.
+
+A session writes each of them once for a folder of tables and reads it as often as queries ask.
+"""
 
 from __future__ import annotations
 
+import atexit
+import json
+import re
+import shutil
+import struct
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.database import SubjectDatabase
+from annalist.functions.columns import SUBJECT
 from annalist.plans.timeline import raw_events
+from annalist.sources import files
 from annalist.sources.convert import convert
+from annalist.sources.dataset import check_schemas, data_files, read_dataset
+from annalist.sources.schema import spark_schema
 from annalist.sources.subset import write_subset
 from annalist.transform import transform_dataset
+from annalist.verify import differences
+
+_made: dict[tuple[str, ...], str] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors can write: below the session's checkpoint folder, if it has one."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='annalist-')}/files-{uuid.uuid4().hex}"
+    """A new folder where driver and executors can write: below the session's checkpoint folder. Only a session on one
+    machine may have none, and gets a temporary one, which goes when Python ends."""
+    context = spark.sparkContext
+    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="annalist-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared}/files-{uuid.uuid4().hex}"
+
+
+def once(spark: SparkSession, make: Callable[[str], None], *key: str) -> str:
+    """The folder that `make` has written for the key in this session."""
+    at = (spark.sparkContext.applicationId, *key)
+    if at not in _made:
+        folder = work_folder(spark)
+        make(folder)
+        _made[at] = folder
+    return _made[at]
+
+
+def write_rows(rows: DataFrame, folder: str, metadata: dict) -> None:
+    """A dataset of rows with src_id: a subject's rows stand together, in order, in one file."""
+    dealt = rows.repartitionByRange(SUBJECT).sortWithinPartitions(SUBJECT, F.col("time").asc_nulls_first(), F.col("src_id").asc_nulls_first())
+    dealt.write.option("compression", "zstd").parquet(f"{folder}/data")
+    files.write_bytes(rows.sparkSession, f"{folder}/metadata/dataset.json", json.dumps(metadata).encode())
 
 
-def write_timeline(spark: SparkSession, sf_dir: str) -> str:
-    """A dataset of the timeline: a subject's rows stand together, in order, in one file."""
-    folder = work_folder(spark)
-    rows = raw_events(spark, sf_dir).repartitionByRange("subject_id").sortWithinPartitions("subject_id", F.col("time").asc_nulls_first(), F.col("src_id").asc_nulls_first())
-    rows.write.option("compression", "zstd").parquet(f"{folder}/data")
-    return folder
+def timeline_dataset(spark: SparkSession, sf_dir: str) -> str:
+    def make(folder: str) -> None:
+        n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+        write_rows(raw_events(spark, sf_dir), folder, {"tables": ["customer", "orders"], "n_customers": n})
+
+    return once(spark, make, "dataset", sf_dir)
 
 
 def timeline_database(spark: SparkSession, sf_dir: str, num_threads: int = 4) -> SubjectDatabase:
-    target = work_folder(spark)
-    convert(spark, write_timeline(spark, sf_dir), target)
-    return SubjectDatabase(target, num_threads, spark)
+    source = timeline_dataset(spark, sf_dir)
+    return SubjectDatabase(once(spark, lambda folder: convert(spark, source, folder, dictionaries=("code",)), "database", sf_dir), num_threads, spark)
+
+
+def rewritten_dataset(spark: SparkSession, sf_dir: str, name: str, change: Callable) -> str:
+    """The dataset rewritten subject by subject by a function that the name stands for."""
+    source = timeline_dataset(spark, sf_dir)
+    return once(spark, lambda folder: transform_dataset(source, folder, change, 4, spark), "rewritten", sf_dir, name)
+
+
+def rewritten_rows(spark: SparkSession, sf_dir: str, name: str, change: Callable) -> DataFrame:
+    return read_dataset(spark, rewritten_dataset(spark, sf_dir, name, change))
 
 
 def scaled_database(spark: SparkSession, sf_dir: str, factor: int = 10) -> SubjectDatabase:
@@ -42,16 +91,52 @@ def scaled_database(spark: SparkSession, sf_dir: str, factor: int = 10) -> Subje
         subject.subject_id *= factor
         return subject
 
-    folder, target = work_folder(spark), work_folder(spark)
-    transform_dataset(write_timeline(spark, sf_dir), folder, scaled, 4, spark)
-    convert(spark, folder, target)
-    return SubjectDatabase(target, 4, spark)
+    source = rewritten_dataset(spark, sf_dir, f"scaled {factor}", scaled)
+    return SubjectDatabase(once(spark, lambda folder: convert(spark, source, folder), "scaled", sf_dir, str(factor)), 4, spark)
 
 
 def cut_database(spark: SparkSession, sf_dir: str, ids: list[int]) -> SubjectDatabase:
-    target = work_folder(spark)
-    write_subset(spark, timeline_database(spark, sf_dir).path_to_database, target, ids)
-    return SubjectDatabase(target, 4, spark)
+    source = timeline_database(spark, sf_dir).path_to_database
+    return SubjectDatabase(once(spark, lambda folder: write_subset(spark, source, folder, ids), "cut", sf_dir, str(ids)), 4, spark)
+
+
+def cut_by_file(spark: SparkSession, sf_dir: str, every: int, rest: int) -> SubjectDatabase:
+    """The subjects whose ids leave a rest, by a file of their ids in falling order."""
+    database = timeline_database(spark, sf_dir)
+
+    def make(folder: str) -> None:
+        ids = sorted((i for i in database if i % every == rest), reverse=True)
+        files.write_bytes(spark, f"{folder}-ids/ids", struct.pack(f"<{len(ids)}q", *ids))
+        write_subset(spark, database.path_to_database, folder, f"{folder}-ids/ids")
+
+    return SubjectDatabase(once(spark, make, "cut by file", sf_dir, str(every), str(rest)), 4, spark)
+
+
+def ancient_database(spark: SparkSession, sf_dir: str) -> SubjectDatabase:
+    """Orders long before 1970, entered another time before, a microsecond off the full second."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select(
+        F.col("o_custkey").alias(SUBJECT),
+        (F.col("o_orderdate") - F.expr("INTERVAL '40000' DAY")).alias("time"),
+        F.lit("ORDER").alias("code"),
+        (F.col("o_orderdate") - F.expr("INTERVAL '50000' DAY") - F.expr("INTERVAL '0.000001' SECOND")).alias("entered"),
+        F.col("o_orderkey").alias("src_id"),
+    )
+
+    def make(folder: str) -> None:
+        write_rows(rows, f"{folder}-dataset", {})
+        convert(spark, f"{folder}-dataset", folder)
+
+    return SubjectDatabase(once(spark, make, "ancient", sf_dir), 4, spark)
+
+
+def differing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The database against a dataset without some subjects and with other values for some orders."""
+    rows = raw_events(spark, sf_dir).where(F.col(SUBJECT) % 11 != 0)
+    changed = rows.withColumn("numeric_value", F.when(F.col("src_id") % 5 == 0, F.col("numeric_value") + 1).otherwise(F.col("numeric_value")))
+    source = once(spark, lambda folder: write_rows(changed, folder, {}), "differing", sf_dir)
+    schema = spark_schema(check_schemas(spark, data_files(spark, source)))
+    return differences(spark, source, timeline_database(spark, sf_dir).path_to_database, schema)
 
 
 def mapped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,23 +3,26 @@
     <target>/events/    parquet, zstd, range-partitioned by subject_id and sorted by (subject_id, event_index)
     <target>/subjects/  parquet: subject_id, n_events
     <target>/header/    json: format version, property names and types
+    <target>/dictionary/<property>/  parquet: idx, the value, n; for the properties asked for
     <target>/metadata/  copied from the dataset
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.columns import INDEX, SUBJECT
+from annalist.operators.stats import value_dictionary
 from annalist.operators.timeline import subject_counts
 from annalist.operators.validate import violations
 from annalist.sources import files
-from annalist.sources.dataset import FILE, ROW, check_schemas, data_files, declared_types, normalised, positioned, scan
-from annalist.sources.schema import ARROW_TO_SPARK, SchemaError, properties_of, type_named
+from annalist.sources.dataset import FILE, ROW, check_schemas, data_files, normalised, positioned, scan
+from annalist.sources.schema import properties_of, spark_schema, type_named
 
 VERSION = 1
 
@@ -51,17 +54,18 @@ def write_tables(events: DataFrame, target: str, mode: str) -> None:
     counts.repartitionByRange(SUBJECT).sortWithinPartitions(SUBJECT).write.mode(mode).option("compression", "zstd").parquet(f"{target}/subjects")
 
 
-def convert(spark: SparkSession, source: str, target: str, num_threads: int | None = None, strict: bool = True, mode: str = "errorifexists") -> None:
+def convert(spark: SparkSession, source: str, target: str, num_threads: int | None = None, strict: bool = True, mode: str = "errorifexists", dictionaries: Sequence[str] = ()) -> None:
     """Writes a dataset as a database.
 
     Strict mode raises on rows that break a rule, before anything is written; otherwise rows of a subject are joined
-    in order of file and row, wherever they stand. Rows without a subject are never accepted.
+    in order of file and row, wherever they stand. Rows without a subject are never accepted. The dictionary of each
+    property named is written too, which takes an aggregation of its values.
     """
     if mode == "errorifexists" and files.exists(spark, target):
         raise FileExistsError(target)
     names = data_files(spark, source)
-    schema = check_schemas(spark, names)
-    rows = scan(spark, source, schema)
+    declared = check_schemas(spark, names)
+    rows = scan(spark, source, spark_schema(declared))
     if strict:
         found = violations(positioned(rows.select(SUBJECT, "time", FILE, ROW)), FILE, ROW)
         faults = found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min(SUBJECT).alias("first")).orderBy("rule").collect()
@@ -69,11 +73,11 @@ def convert(spark: SparkSession, source: str, target: str, num_threads: int | No
             raise DatasetError("; ".join(f"{r.rule}: {r.n} (first subject {r.first})" for r in faults))
     elif rows.where(F.col(SUBJECT).isNull()).limit(1).count():
         raise DatasetError("null_subject")
-    declared = declared_types(names)
-    if declared.get("time", pa.timestamp("us")) != pa.timestamp("us"):
-        raise SchemaError(f"time must be timestamp[us], not {declared['time']}")
     clustered = positioned(normalised(rows), num_threads).drop(FILE, ROW)
     write_tables(clustered.sortWithinPartitions(SUBJECT, INDEX), target, "overwrite" if mode == "overwrite" else "errorifexists")
-    write_header(spark, target, properties_of(schema, {k: v for k, v in declared.items() if v in ARROW_TO_SPARK}), "overwrite")
+    write_header(spark, target, properties_of(declared), "overwrite")
+    for name in dictionaries:
+        found = value_dictionary(spark.read.parquet(f"{target}/events"), name)
+        found.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/dictionary/{name}")
     if files.exists(spark, f"{source}/metadata") and not files.exists(spark, f"{target}/metadata"):
         files.copy_tree(spark, f"{source}/metadata", f"{target}/metadata")

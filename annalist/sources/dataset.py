@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.functions.columns import INDEX, SUBJECT, empty_to_null
 from annalist.sources import files
-from annalist.sources.schema import SchemaError, schema_difference, schema_faults
+from annalist.sources.footers import Declared, distinct_schemas
+from annalist.sources.schema import SchemaError, schema_difference, schema_faults, spark_schema
 
 FILE, ROW = "_file", "_row"
 
@@ -24,27 +21,15 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
-def file_schemas(spark: SparkSession, names: list[str]) -> list[T.StructType]:
-    """Each file's own schema, from its footer; footers are read by several threads."""
-    with ThreadPoolExecutor(16) as pool:
-        return list(pool.map(lambda f: spark.read.parquet(f).schema, names))
-
-
-def declared_types(names: list[str]) -> dict[str, pa.DataType]:
-    """Column types as the first file declares them, if it lies on this machine."""
-    local = files.local_path(names[0])
-    return {f.name: f.type for f in pq.read_schema(local)} if local else {}
-
-
-def check_schemas(spark: SparkSession, names: list[str], ordered: bool = False) -> T.StructType:
-    """The schema that all files share; raises if a file's differs or breaks a rule."""
-    schemas = file_schemas(spark, names)
-    for name, schema in zip(names, schemas, strict=True):
-        if difference := schema_difference(schemas[0], schema, ordered):
-            raise SchemaError(f"{name}: schema is not that of {names[0]}: {difference}")
-    if faults := schema_faults(schemas[0]):
-        raise SchemaError("; ".join(faults))
-    return schemas[0]
+def check_schemas(spark: SparkSession, names: list[str], ordered: bool = False) -> Declared:
+    """The schema that all files declare; raises if a file's differs or breaks a rule."""
+    (first, declared), *others = distinct_schemas(spark, names)
+    for name, other in others:
+        if difference := schema_difference(declared, other, ordered):
+            raise SchemaError(f"{name}: schema is not that of {first}: {difference}")
+    if faults := schema_faults(declared):
+        raise SchemaError("; ".join(message for *_, message in faults))
+    return declared
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -72,5 +57,5 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 def read_dataset(spark: SparkSession, path: str, strict: bool = True, partitions: int | None = None) -> DataFrame:
     """The events of a dataset with event_index; strict checks every file's schema first."""
-    schema = check_schemas(spark, data_files(spark, path)) if strict else None
+    schema = spark_schema(check_schemas(spark, data_files(spark, path))) if strict else None
     return positioned(normalised(scan(spark, path, schema)), partitions).drop(FILE, ROW)

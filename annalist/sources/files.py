@@ -21,6 +21,16 @@ def copy_tree(spark: SparkSession, source: str, target: str) -> None:
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, to_fs, b, False, spark._jsc.hadoopConfiguration())
 
 
+def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
+    """A small new file."""
+    path, fs = _path(spark, name)
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def parquet_files(spark: SparkSession, folder: str) -> list[str]:
     """All .parquet files below a folder, sorted."""
     path, fs = _path(spark, folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.functions.columns import INDEX, SUBJECT
+from annalist.sources.footers import Declared
 
 MAX_PROPERTIES = 64
 
@@ -27,19 +28,14 @@ ARROW_TO_SPARK = {
     pa.uint32(): T.LongType(),
     pa.uint64(): T.DecimalType(20, 0),
 }
-_SPARK_TO_ARROW = {str(s): a for a, s in reversed(ARROW_TO_SPARK.items()) if not str(a).startswith("uint") or a == pa.uint64()}
 _BY_NAME = {str(a): a for a in ARROW_TO_SPARK}
+_NESTED = ("list", "large_list", "fixed_size_list", "struct", "map", "group")
 
 
 class SchemaError(ValueError):
     """A dataset breaks a schema rule."""
 
 
-def arrow_type(spark_type: T.DataType) -> pa.DataType | None:
-    """The property type behind a column type, or None if it is not supported."""
-    return _SPARK_TO_ARROW.get(str(spark_type))
-
-
 def type_named(name: str) -> pa.DataType:
     return _BY_NAME[name]
 
@@ -49,44 +45,46 @@ def property_names(df: DataFrame) -> list[str]:
     return sorted((c for c in df.columns if c not in (SUBJECT, INDEX)), key=lambda c: c.encode())
 
 
-def properties_of(schema: T.StructType, declared: dict[str, pa.DataType] | None = None) -> dict[str, pa.DataType]:
-    """Sorted property names with their types; types declared in the files win over those read back from Spark's."""
-    known = declared or {}
-    names = sorted((f.name for f in schema if f.name not in (SUBJECT, INDEX)), key=lambda c: c.encode())
-    return {n: known.get(n) or arrow_type(schema[n].dataType) for n in names}
+def properties_of(declared: Declared) -> dict[str, pa.DataType]:
+    """Sorted property names with the types that the files declare."""
+    return {n: type_named(t) for n, t in sorted(declared, key=lambda c: c[0].encode()) if n not in (SUBJECT, INDEX)}
+
 
+def spark_schema(declared: Declared) -> T.StructType:
+    """The columns as Spark reads them, in the order of the file."""
+    return T.StructType([T.StructField(n, ARROW_TO_SPARK[type_named(t)]) for n, t in declared])
 
-def schema_faults(schema: T.StructType) -> list[str]:
-    """What strict mode rejects about a schema."""
+
+def schema_faults(declared: Declared) -> list[tuple[str, str, str]]:
+    """What is wrong with a schema: (column, rule, in words)."""
     out = []
-    by = {f.name: f.dataType for f in schema}
-    if SUBJECT not in by:
-        out.append(f"{SUBJECT} is missing")
-    elif by[SUBJECT] != T.LongType():
-        out.append(f"{SUBJECT} must be int64, not {by[SUBJECT].simpleString()}")
-    if "time" not in by:
-        out.append("time is missing")
-    elif by["time"] != T.TimestampNTZType():
-        out.append(f"time must be a timestamp without a zone, not {by['time'].simpleString()}")
-    if "code" not in by:
-        out.append("code is missing")
-    for name, kind in by.items():
-        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            out.append(f"{name} is not flat: {kind.simpleString()}")
-        elif arrow_type(kind) is None:
-            out.append(f"{name} has an unsupported type: {kind.simpleString()}")
+    by = dict(declared)
+    for name, wanted in ((SUBJECT, "int64"), ("time", "timestamp[us]"), ("code", "")):
+        if name not in by:
+            out.append((name, "missing", f"{name} is missing"))
+        elif wanted and by[name] != wanted:
+            zone = " without a zone" if "tz=" in by[name] else ""
+            out.append((name, "type", f"{name} must be {wanted}{zone}, not {by[name]}"))
+    for name, kind in declared:
+        if kind.split("<")[0].split("[")[0].split(" ")[0] in _NESTED:
+            out.append((name, "not_flat", f"{name} is not flat: {kind}"))
+        elif kind not in _BY_NAME and name not in (SUBJECT, "time"):
+            out.append((name, "unsupported", f"{name} has an unsupported type: {kind}"))
     if len(by) - 1 > MAX_PROPERTIES:
-        out.append(f"{len(by) - 1} properties are more than {MAX_PROPERTIES}")
+        out.append(("", "too_many", f"{len(by) - 1} properties are more than {MAX_PROPERTIES}"))
     return out
 
 
-def schema_difference(first: T.StructType, other: T.StructType, ordered: bool = False) -> str:
+def schema_difference(first: Declared, other: Declared, ordered: bool = False) -> str:
     """How two files' schemas differ by name and type (and order), or an empty string."""
-    a, b = ([(f.name, f.dataType.simpleString()) for f in s] for s in (first, other))
-    if ordered and a != b:
-        return f"{a} is not {b}"
-    missing, extra = set(a) - set(b), set(b) - set(a)
-    return "" if not missing and not extra else f"missing {sorted(missing)}, added {sorted(extra)}"
+    if ordered and first != other:
+        return f"{first} is not {other}"
+    return ", ".join(f"{side} {name}: {kind}" for side, name, kind in declared_differences(first, other))
+
+
+def declared_differences(first: Declared, other: Declared) -> list[tuple[str, str, str]]:
+    """(missing or added, column, type) of what another file declares differently, whatever the order."""
+    return [("missing", *c) for c in sorted(set(first) - set(other))] + [("added", *c) for c in sorted(set(other) - set(first))]
 
 
 def name_difference(ours: set[str], theirs: set[str]) -> tuple[list[str], list[str]]:

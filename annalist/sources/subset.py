@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,13 @@ from annalist.sources.convert import read_header, write_header, write_tables
 
 
 def read_id_file(spark: SparkSession, path: str) -> DataFrame:
-    """Ids from a file of little-endian 64-bit integers, cut to records by Spark itself."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    n = F.floor(F.length("content") / 8).cast("int")
-    at = raw.where(n > 0).select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    big_endian = F.concat(*(F.substring(F.col("content"), F.col("i") * 8 + F.lit(j), F.lit(1)) for j in range(8, 0, -1)))
-    high, low = F.conv(F.hex(F.substring(big_endian, 1, 4)), 16, 10).cast("bigint"), F.conv(F.hex(F.substring(big_endian, 5, 4)), 16, 10).cast("bigint")
-    return at.select(F.shiftleft(high, 32).bitwiseOR(low).alias(SUBJECT))
+    """Ids from files of little-endian 64-bit integers, which Hadoop's format of fixed-length records cuts to tasks."""
+
+    def run(records: Iterator[bytes]) -> Iterator[tuple[int]]:
+        while some := b"".join(itertools.islice(records, 1 << 16)):
+            yield from ((i,) for i in np.frombuffer(some, "<i8").tolist())
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, 8).mapPartitions(run), f"{SUBJECT} bigint")
 
 
 def as_ids(spark: SparkSession, ids: DataFrame | Sequence[int] | np.ndarray | str) -> DataFrame:

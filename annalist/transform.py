@@ -12,24 +12,27 @@ from annalist.functions.columns import SUBJECT
 from annalist.operators.groups import grouped, records
 from annalist.sources import files
 from annalist.sources.dataset import FILE, ROW, check_schemas, data_files, scan
+from annalist.sources.schema import spark_schema
 from annalist.subject import MutableSubject, rows_from_subject, subject_from_rows
 
 _ROWS = 4096
 
 
-def transform_dataset(source: str, target: str, transform_func: Callable[[MutableSubject], MutableSubject | None], num_threads: int = 1, spark: SparkSession | None = None) -> None:
+def transform_dataset(source: str, target: str, transform_func: Callable[[MutableSubject], MutableSubject | None], num_threads: int | None = None, spark: SparkSession | None = None) -> None:
     """Writes the dataset that a function makes of each subject, or none of it where it returns None.
 
     The source's schema is kept: properties it doesn't have are dropped, those an event lacks are null. Files' schemas
-    have to be equal, order included. Events are written in the order the function leaves them in; a later conversion
+    have to be equal, order included. Subjects are dealt to num_threads tasks, or to as many as the session shuffles to.
+    Events are written in the order the function leaves them in; a later conversion
     checks them.
     """
     spark = spark or SparkSession.builder.getOrCreate()
     if files.exists(spark, target):
         raise FileExistsError(target)
-    schema = check_schemas(spark, data_files(spark, source), ordered=True)
+    schema = spark_schema(check_schemas(spark, data_files(spark, source), ordered=True))
     names, arrow = schema.fieldNames(), to_arrow_schema(schema)
-    rows = scan(spark, source, schema).repartition(num_threads, SUBJECT).sortWithinPartitions(SUBJECT, FILE, ROW).drop(FILE, ROW)
+    rows = scan(spark, source, schema)
+    rows = (rows.repartition(num_threads, SUBJECT) if num_threads else rows.repartition(SUBJECT)).sortWithinPartitions(SUBJECT, FILE, ROW).drop(FILE, ROW)
 
     def run(batches):
         held = []

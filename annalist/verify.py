@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from annalist.functions.columns import INDEX, SUBJECT
 from annalist.operators.joins import event_differences
 from annalist.sources.convert import read_header
-from annalist.sources.dataset import data_files, file_schemas, read_dataset
-from annalist.sources.schema import name_difference, properties_of
+from annalist.sources.dataset import data_files, normalised, positioned, scan
+from annalist.sources.footers import distinct_schemas
+from annalist.sources.schema import name_difference, schema_faults, spark_schema
+
+
+def differences(spark: SparkSession, dataset: str, database: str, schema) -> DataFrame:
+    """(subject_id, event_index, column) where events of a dataset and a database differ, or only one has them (column
+    null)."""
+    names = sorted(set(schema.fieldNames()) - {SUBJECT, INDEX})
+    wanted = positioned(normalised(scan(spark, dataset, schema))).select(SUBJECT, INDEX, *names)
+    return event_differences(wanted, spark.read.parquet(f"{database}/events").select(SUBJECT, INDEX, *names))
 
 
 def verify_database(spark: SparkSession, dataset: str, database: str, shown: int = 10) -> list[str]:
-    """What is wrong with the database: property names, then types, then events; nothing if it holds the dataset."""
-    stored = read_header(spark, database)
-    schema = file_schemas(spark, data_files(spark, dataset)[:1])[0]
-    ours = properties_of(schema)
-    missing, extra = name_difference(set(ours), set(stored))
-    if missing or extra:
-        return [f"missing properties {missing}, extra properties {extra}"]
-    events = spark.read.parquet(f"{database}/events")
-    kinds = {c: (schema[c].dataType, events.schema[c].dataType) for c in ours if schema[c].dataType != events.schema[c].dataType}
-    if kinds:
-        return [f"{c}: {a.simpleString()} in the dataset, {b.simpleString()} in the database" for c, (a, b) in kinds.items()]
-    wanted = read_dataset(spark, dataset, strict=False).select(SUBJECT, INDEX, *ours)
-    found = event_differences(wanted, events.select(SUBJECT, INDEX, *ours)).limit(shown).collect()
+    """What is wrong with the database: property names, then types, each file's as it declares them, then events; nothing
+    if it holds the dataset."""
+    stored = {k: str(v) for k, v in read_header(spark, database).items()}
+    schemas = distinct_schemas(spark, data_files(spark, dataset))
+    for name, declared in schemas:
+        missing, extra = name_difference({n for n, _ in declared}, set(stored))
+        if missing or extra:
+            return [f"{name}: missing properties {missing}, extra properties {extra}"]
+        if kinds := [f"{name}: {n} is {t} in the dataset, {stored[n]} in the database" for n, t in declared if n in stored and t != stored[n]]:
+            return kinds
+    if faults := schema_faults(schemas[0][1]):
+        return [message for *_, message in faults]
+    found = differences(spark, dataset, database, spark_schema(schemas[0][1])).limit(shown).collect()
     return [f"subject {r[0]}, event {r[1]}: " + (f"{r[2]} differs" if r[2] else "only one side has it") for r in found]
