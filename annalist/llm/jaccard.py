@@ -2,29 +2,37 @@
 
 A document is a set of word shingles. Documents of about the same number of shingles are on a level; at a level every
 set is cut by token hash into d + 1 parts, d being the most tokens by which two linked sets of that level (or of it
-and the next) can differ. Two linked sets therefore agree on one whole part at least. The work goes in four steps:
+and the next) can differ. Two linked sets therefore agree on one whole part at least. The work goes in five steps:
 
 1. Matrix: rows are contents of parts, columns are documents. A row that several documents share makes them a group.
    Of many parts PARTS are looked at: a linked pair agrees on a part with probability 1/e or more, so that all of
-   those miss with probability under 1e-11. Empty parts say little and are not rows; sets with few parts, where they
-   may be all that two sets share, cut once more inside an empty part with other hashes, DEPTH times.
+   those miss with probability under 1e-11; Threshold(exact=True) looks at all of them and misses nothing. Empty parts
+   say little and are not rows (but with exact); sets with few parts, where they may be all that two sets share, cut once
+   more inside an empty part with other hashes, DEPTH times, and then it is a row.
 2. Similar documents are partitioned: in order of size, the members of a group fall into runs where a gap in the
    sizes excludes links, each run is tied to its first member, and what is connected is a partition that no link
-   leaves. Copies of the same set are one member. Of partitions of more than GROUP documents those are dropped that
-   share too few of their shingles with the others of sizes near theirs to be linked.
-3. Groups: a partition is cut into groups of GROUP documents. A task gets a pair of groups of one partition, builds
-   each group's token union and bounds every document's overlap with the other union. Only documents whose bound
-   allows a link are opened: exact intersections come from a product of token matrices.
-4. Links found, few a group pair as it needs only connections, are joined to components.
-
-Hot keys: copies of one set are dropped before the matrix inside a task and joined after it, matrix rows shared by
-very many documents are streamed by a window, and a large partition is spread over its group pairs, so no task holds
-an unbounded group. Nothing of the corpus reaches the driver. All steps are cut off by reliable checkpoints.
+   leaves. Of the copies of a set one stands for all.
+3. Groups: a small partition is one group. In a larger one each level is cut into groups of about GROUP documents and
+   GROUP_TOKENS tokens. A task gets one group and the HUBS documents of its level, and of the level below, that all its
+   groups get. It bounds each document's overlap with the token union of the others, opens those that may be linked,
+   and compares them by products of token matrices. Documents of one family thus meet in their hubs, at a cost in
+   proportion to the family.
+4. Partitions that this leaves in one piece are done. In the others, documents that hold too few tokens of any other
+   one are dropped. What is left outside a level's largest piece is a query in blocks against the groups of its level
+   and the levels beside it; where the largest pieces of two levels are still apart, so are the groups of both. Each
+   pair of a block and a group has its unions, bounds and products as before.
+5. Links found, few a task as it needs only connections, are joined to components.
+
+Hot keys: copies of one set are dropped before the matrix inside a task and joined to it after; keys that hold more than
+a thousandth of the rows, fewer than a thousand keys, are joined by broadcast, others shuffled; a matrix row shared by
+very many documents is streamed by a window, which holds none of them; large partitions are spread over their groups.
+Nothing of the corpus reaches the driver. All steps are cut off by reliable checkpoints.
 
 Defined results: null, empty and wordless texts have no shingles, link with nothing and are their own component; a
 text with fewer words than a shingle is one shingle; rows that share a doc_id are one node of the link graph; a null
-doc_id links with nothing and has a null component; an empty table gives no rows; columns that the method adds win
-over columns of the same names.
+doc_id links with nothing and has a null component; a similarity of exactly the threshold links; a very long text is
+one set, read and compared whole (products are cut by tokens, so its size is bounded by a few copies of it); an empty
+table gives no rows; columns that the method adds win over columns of the same names.
 """
 
 from __future__ import annotations
@@ -47,6 +55,10 @@ PARTS = 64
 DEPTH = 3
 FEW_PARTS = 24
 GROUP = 256
+GROUP_TOKENS = 1 << 20
+HUBS = 4
+#: A key is hot if more than one row in so many has it.
+HOT = 1000
 #: Token matrix cells (documents x tokens) of one product.
 _CELLS = 1 << 24
 _U = np.uint64
@@ -54,10 +66,11 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Threshold:
-    """Sets link when 100 * intersection >= percent * union."""
+    """Sets link when 100 * intersection >= percent * union. exact: all parts are looked at, however many."""
 
     percent: int = 90
     words: int = 3
+    exact: bool = False
 
     def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
@@ -104,14 +117,13 @@ def signatures(tokens: np.ndarray, t: Threshold) -> list[np.ndarray]:
             out.append(np.array(_deep(tokens, at, n, 0, mix_int(at + 1)), dtype=_U))
             continue
         part = (mix(tokens + _U(mix_int(1000 + at))) >> _U(33)) % _U(n)
-        if n > PARTS:
+        own = tokens
+        if n > PARTS and not t.exact:
             seen = part < PARTS
             part, own = part[seen], tokens[seen]
-        else:
-            own = tokens
-        sums = np.zeros(min(n, PARTS), dtype=_U)
+        sums = np.zeros(n if t.exact else min(n, PARTS), dtype=_U)
         np.add.at(sums, part.astype(np.int64), mix(own))
-        used = np.flatnonzero(sums)
+        used = np.arange(len(sums)) if t.exact else np.flatnonzero(sums)
         out.append(mix(sums[used] + mix(used.astype(_U) + _U(mix_int(7 + at)))))
     return out
 
@@ -146,12 +158,13 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=_U).view(np.int64))
 
 
-_DESCRIBED = "doc bigint, n bigint, high bigint, low bigint, rows array<bigint>"
+_DESCRIBED = "doc bigint, n bigint, level int, high bigint, low bigint, rows array<bigint>"
+_SET = ["n", "high", "low"]
 
 
 def describe(documents: DataFrame, t: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document: the size and a 128-bit hash of its set, and its matrix rows (none for a copy of a set that
-    the same task has met lately)."""
+    """For each document: the size, level and a 128-bit hash of its set, and its matrix rows (none for a copy of a set
+    that the same task has met lately)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: OrderedDict[tuple[int, int], None] = OrderedDict()
@@ -169,7 +182,8 @@ def describe(documents: DataFrame, t: Threshold, key: str = "doc_id", text: str
                     met.popitem(last=False)
                 rows.append(np.concatenate(signatures(own, t)).view(np.int64))
             flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _signed(highs), _signed(lows), flat], names=["doc", "n", "high", "low", "rows"])
+            sizes, levels = pa.array([len(s) for s in sets], pa.int64()), pa.array([t.level(len(s)) if len(s) else None for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, levels, _signed(highs), _signed(lows), flat], names=["doc", "n", "level", "high", "low", "rows"])
 
     return documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).mapInArrow(run, _DESCRIBED)
 
@@ -190,6 +204,19 @@ def partitions(described: DataFrame, t: Threshold) -> DataFrame:
     return connected_components(pairs).select(F.col("node").alias("doc"), F.col("component").alias("part"))
 
 
+def join_values(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows with the values of their keys, which are distinct in `values`; count: how many rows have the key.
+
+    Keys that more than one row in HOT has are fewer than HOT, so they are broadcast, and no task gets all rows of one."""
+    total, most = values.agg(F.sum(count), F.max(count)).first()
+    plain = values.drop(count)
+    if not total or most * HOT <= total:
+        return rows.join(plain, keys)
+    is_hot = F.col(count) * HOT > total
+    hot = F.broadcast(values.where(is_hot).drop(count))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(values.where(~is_hot).drop(count), keys))
+
+
 class Links:
     """Union-find over the documents of a task."""
 
@@ -211,15 +238,18 @@ class Links:
 def open_groups(left: list[np.ndarray], right: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
     """Links between two groups of sets, or inside one, that connect all that is linked; right numbers follow left's."""
     sets = left + (right or [])
+    if len(sets) < 2:
+        return []
     sizes = np.array([len(s) for s in sets], np.int64)
     cut = len(left)
+    # a link needs this much of a document in the union of the sets it may be linked with
     if right is None:
-        able = np.arange(len(sets))
-        ahead = behind = able
-    else:  # a link needs this much of a document in the other group's union
-        unions = [np.unique(np.concatenate(g)) for g in (right, left)]
-        able = np.array([i for i, s in enumerate(sets) if 100 * _held(s, unions[i >= cut]) >= t.percent * len(s)], np.int64)
-        ahead, behind = able[able < cut], able[able >= cut]
+        union, times = np.unique(np.concatenate(sets), return_counts=True)
+        unions = [union[times > 1]]
+    else:
+        unions = [np.unique(np.concatenate(g)) if g else np.zeros(0, _U) for g in (right, left)]
+    able = np.array([i for i, s in enumerate(sets) if 100 * _held(s, unions[right is not None and i >= cut]) >= t.percent * len(s)], np.int64)
+    ahead, behind = (able, able) if right is None else (able[able < cut], able[able >= cut])
     if not len(ahead) or not len(behind):
         return []
     tokens, number = np.unique(np.concatenate([sets[i] for i in able]), return_inverse=True)
@@ -245,46 +275,39 @@ def open_groups(left: list[np.ndarray], right: list[np.ndarray] | None, t: Thres
 
 
 def _held(tokens: np.ndarray, union: np.ndarray) -> int:
+    if not len(union):
+        return 0
     at = np.searchsorted(union, tokens)
     at[at == len(union)] = 0
     return int((union[at] == tokens).sum())
 
 
 def able_members(own: DataFrame, t: Threshold) -> DataFrame:
-    """doc and part of the rows of own (doc, part, text) that others of the part and of sizes near theirs might hold
-    enough of for a link. Exact, as a link needs that much of a set in one other set."""
+    """doc and level of the rows of own (doc, part, text) of which others of the part hold enough tokens for a link.
+    Exact, as a link needs that much of a set in one other set. Tokens are counted before they are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = token_sets(part.column(2), t.words)
             sizes = np.array([len(s) for s in sets], np.int64)
+            levels = np.array([t.level(len(s)) if len(s) else 0 for s in sets], np.int32)
             at = pa.array(np.repeat(np.arange(len(sets)), sizes))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.repeat(sizes, sizes)), _signed(np.concatenate(sets))], names=["doc", "part", "n", "token"])
-
-    order = Window.partitionBy("part", "token").orderBy("n", "doc")
-    cells = own.select("doc", "part", "text").mapInArrow(run, "doc bigint, part bigint, n bigint, token bigint")
-    # the members next in size are the ones nearest to a link
-    held = cells.withColumn("held", _sizes_link(F.lag("n").over(order), F.col("n"), t) | _sizes_link(F.col("n"), F.lead("n").over(order), t))
-    return held.groupBy("doc", "part", "n").agg(F.count_if("held").alias("held")).where(100 * F.col("held") >= t.percent * F.col("n")).select("doc", "part").distinct()
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array(np.repeat(x, sizes)) for x in (levels, sizes)), _signed(np.concatenate(sets))], names=["doc", "part", "level", "n", "token"])
 
+    cells = own.select("doc", "part", "text").mapInArrow(run, "doc bigint, part bigint, level int, n bigint, token bigint")
+    shared = cells.groupBy("part", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("part", "token")
+    held = cells.join(shared, ["part", "token"]).groupBy("doc", "level", "n").agg(F.count(F.lit(1)).alias("held"))
+    return held.where(100 * F.col("held") >= t.percent * F.col("n")).select("doc", "level").distinct()
 
-def verified_links(documents: DataFrame, members: DataFrame, t: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b): enough of the links inside parts to connect whatever is linked."""
-
-    def sized(members: DataFrame) -> DataFrame:
-        return members.join(members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")), "part").select("doc", "part", "groups")
 
-    first = sized(members)
-    own = checkpointed(documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(first, "doc"))
-    able = checkpointed(able_members(own.where("groups > 1"), t))
-    placed = first.where("groups = 1").unionByName(sized(able)).withColumn("group", F.pmod(F.xxhash64("doc"), "groups").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(F.least(g, "group").alias("g"), F.greatest(g, "group").alias("h")))
-    copies = own.select("doc", "text").join(placed, "doc").select("part", F.inline(pairs), "group", "doc", "text")
-    dealt = copies.repartition("part", "g", "h").sortWithinPartitions("part", "g", "h", "group", "doc")
+def _compared(texts: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
+    """(a, b): links between the documents of texts (keys, side, doc, text) that share all keys, enough to connect what is
+    linked: those of side 0 with those of side 1, or all with all where side is null."""
+    dealt = texts.select(*keys, "side", "doc", "text").repartition(*keys).sortWithinPartitions(*keys, "side", "doc")
+    at_text = len(keys) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(at, rows):
-            g, h = at[1], at[2]
+        def close(rows):
             distinct: dict[tuple, int] = {}
             docs, sides, sets, out = [], [], [], []
             for side, doc, own in rows:
@@ -296,30 +319,90 @@ def verified_links(documents: DataFrame, members: DataFrame, t: Threshold, key:
                     docs.append(doc)
                     sides.append(side)
                     sets.append(own)
-            cut = sides.count(g)
-            found = open_groups(sets[:cut], None if g == h else sets[cut:], t)
-            out += [(docs[i], docs[j]) for i, j in found]
-            return out
+            cut = sides.count(0)
+            found = open_groups(sets, None, t) if sides[0] is None else open_groups(sets[:cut], sets[cut:], t)
+            return out + [(docs[i], docs[j]) for i, j in found]
 
         current, rows = None, []
         for part in slices(batches, "text"):
-            sets = token_sets(part.column(5), t.words)
+            sets = token_sets(part.column(at_text), t.words)
             made = []
-            for *at, side, doc, own in zip(*(part.column(i).to_pylist() for i in range(5)), sets, strict=True):
+            for *at, side, doc, own in zip(*(part.column(i).to_pylist() for i in range(at_text)), sets, strict=True):
                 if at != current:
                     if rows:
-                        made += close(current, rows)
+                        made += close(rows)
                     current, rows = at, []
                 if len(own):
                     rows.append((side, doc, own))
             if made:
                 yield _pairs(made)
         if rows:
-            yield _pairs(close(current, rows))
+            yield _pairs(close(rows))
 
     return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
+def _grouped(members: DataFrame, keys: list[str]) -> DataFrame:
+    """members (doc, level, n, ...) with groups, the number of groups that their keys need, and group, their own."""
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
+    per = members.groupBy(*keys).agg(need.alias("groups"), F.count(F.lit(1)).alias("count"))
+    return join_values(members, per, keys, "count").withColumn("group", F.pmod(F.xxhash64("doc"), "groups").cast("int"))
+
+
+def verified_links(documents: DataFrame, members: DataFrame, t: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b): enough of the links inside the parts of members (doc, part, level, n) to connect whatever is linked."""
+    placed = checkpointed(_grouped(members, ["part"]))
+    large = checkpointed(_grouped(placed.where("groups > 1").drop("groups", "group"), ["part", "level"]))
+    draw = F.xxhash64("doc", F.lit(5))
+    picked = large.groupBy("part", "level", F.pmod(draw, F.lit(HUBS)).alias("k")).agg(F.min_by("doc", draw).alias("doc")).select("part", "level", "doc", F.lit(True).alias("hub"))
+    small = placed.where("groups = 1").select("doc", "part", F.lit(-1).alias("level"), "group", F.lit(None).cast("boolean").alias("hub"))
+    dealt = small.unionByName(large.select("doc", "part", "level", "group").join(picked, ["part", "level", "doc"], "left"))
+    own = checkpointed(documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(dealt, "doc"))
+
+    # one group each, with the hubs of its level and of the one below
+    hubs = own.where("hub").select("part", F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level"), "doc", "text")
+    classes = large.select("part", "level", "groups").distinct()
+    sent = hubs.join(classes, ["part", "level"]).select("part", "level", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "doc", "text")
+    keys = ["part", "level", "group"]
+    first = checkpointed(_compared(own.select(*keys, "doc", "text").unionByName(sent).withColumn("side", F.lit(None).cast("int")), keys, t))
+
+    # large partitions that are still in pieces
+    if not large.take(1):
+        return first
+    found = connected_components(first).select(F.col("node").alias("doc"), F.col("component").alias("piece"))
+    pieces = checkpointed(large.drop("groups", "group").join(found, "doc", "left").withColumn("piece", F.coalesce("piece", "doc")))
+    broken = pieces.groupBy("part").agg(F.min("piece").alias("least"), F.max("piece").alias("most"), F.count(F.lit(1)).alias("count"))
+    open_ = checkpointed(join_values(pieces, broken.where("least <> most").select("part", "count"), ["part"], "count"))
+    if not open_.take(1):
+        return first
+    own = own.select("doc", "part", "text").join(open_.select("doc", "part").distinct(), ["doc", "part"])
+    able = checkpointed(able_members(own, t))
+    left = checkpointed(_grouped(open_.join(able, ["doc", "level"]), ["part", "level"]))
+    mains = checkpointed(left.groupBy("part", "level", "groups", "piece").agg(F.count(F.lit(1)).alias("count")).groupBy("part", "level", "groups").agg(F.max_by("piece", F.struct("count", "piece")).alias("main"), F.sum("count").alias("count")))
+    marked = checkpointed(join_values(left.drop("groups"), mains.drop("groups"), ["part", "level"], "count").withColumn("other", F.col("piece") != F.col("main")))
+    blocks = marked.where("other").groupBy("part", "level").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    sides = checkpointed(mains.join(blocks, ["part", "level"], "left"))
+    x, y = sides.alias("x"), sides.alias("y")
+    beside = x.join(y, F.col("x.part") == F.col("y.part")).where("abs(x.level - y.level) <= 1")
+    same = F.col("x.main") == F.col("y.main")
+    plan = beside.where((same & F.col("x.blocks").isNotNull()) | (~same & (F.col("x.level") < F.col("y.level")))).select(
+        F.col("x.part").alias("part"), F.col("x.level").alias("low"), F.col("y.level").alias("high"), (~same).alias("every"), F.when(same, F.col("x.blocks")).otherwise(F.col("x.groups")).alias("blocks"), F.col("y.groups").alias("groups"))
+    counts = mains.select("part", "level", "count")
+    asking = _with_plan(marked, plan.withColumnRenamed("low", "level"), counts).where("every OR other")
+    block = F.when(F.col("every"), F.col("group")).otherwise(F.pmod(F.xxhash64("doc", F.lit(9)), "blocks").cast("int"))
+    queries = asking.select("doc", "part", F.col("level").alias("low"), "high", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("side"))
+    asked = _with_plan(marked, plan.withColumnRenamed("high", "level"), counts)
+    targets = asked.select("doc", "part", "low", F.col("level").alias("high"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "group", F.lit(1).alias("side"))
+    second = _compared(own.join(queries.unionByName(targets), ["doc", "part"]), ["part", "low", "high", "block", "group"], t)
+    return first.unionByName(second)
+
+
+def _with_plan(marked: DataFrame, plan: DataFrame, counts: DataFrame) -> DataFrame:
+    """marked members with each of the comparisons that plan has for their part and level, at most three."""
+    listed = plan.groupBy("part", "level").agg(F.collect_list(F.struct(*(c for c in plan.columns if c not in ("part", "level")))).alias("plans"))
+    return join_values(marked, listed.join(counts, ["part", "level"]), ["part", "level"], "count").select("*", F.inline("plans")).drop("plans")
+
+
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 2, names=["a", "b"])
 
@@ -327,25 +410,32 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 def jaccard_components(documents: DataFrame, t: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """key, n_shingles and component_id (the least key reachable over links, itself included) for each document."""
     described = checkpointed(describe(documents, t, key, text))
-    links = checkpointed(verified_links(documents, partitions(described, t), t, key, text))
-    found = connected_components(links)
-    own = checkpointed(described.select("doc", "n", "high", "low").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left"))
-    # copies of a set are linked, though the graph may know only some of them; so are rows of a repeated id
-    usable = own.where("n > 0 AND doc IS NOT NULL").withColumn("component", F.coalesce("component", F.when(F.count(F.lit(1)).over(Window.partitionBy("doc")) > 1, F.col("doc"))))
-    same = ["n", "high", "low"]
-    sets = checkpointed(usable.groupBy(*same).agg(F.min("doc").alias("least"), F.min("component").alias("one"), F.max("component").alias("other")))
-    bridges = usable.where("component IS NOT NULL").join(sets.where("one <> other").select(*same, "one"), same).select(F.col("component").alias("a"), F.col("one").alias("b"))
-    merged = connected_components(bridges).withColumnRenamed("component", "root")
-    rooted = sets.join(merged, sets["one"] == merged["node"], "left").select(*same, "least", F.coalesce("root", "one").alias("root"))
-    ids = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("id"))
-    known = rooted.join(ids, "root", "left").select(*same, F.coalesce("id", "least").alias("id"))
-    labelled = own.drop("component").join(known, same, "left")
-    return labelled.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("id", "doc")).alias("component_id"))
+    usable = described.where("n > 0 AND doc IS NOT NULL").drop("rows")
+    # one document stands for all copies of a set, and is one whose rows are known
+    first = F.coalesce(F.min(F.when(F.size("rows") > 0, F.col("doc"))), F.min("doc"))
+    sets = checkpointed(described.where("n > 0 AND doc IS NOT NULL").groupBy(*_SET).agg(first.alias("stands"), F.min("doc").alias("least"), F.min("level").alias("level"), F.count(F.lit(1)).alias("copies")))
+    members = checkpointed(partitions(described, t).join(sets.select(F.col("stands").alias("doc"), "level", "n").distinct(), "doc"))
+    links = verified_links(documents, members, t, key, text)
+
+    own = checkpointed(join_values(usable.select("doc", *_SET), sets.select(*_SET, "stands", "copies"), _SET, "copies"))
+    again = checkpointed(described.where("doc IS NOT NULL").groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc"))
+    ties = own.join(again, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("stands").alias("b"))
+    found = connected_components(links.unionByName(ties))
+
+    rooted = checkpointed(sets.join(found.select(F.col("node").alias("stands"), F.col("component").alias("root")), "stands", "left"))
+    ids = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("id"), F.count(F.lit(1)).alias("count"))
+    linked = join_values(rooted.where("root IS NOT NULL"), ids, ["root"], "count").select(*_SET, "id", "copies")
+    known = checkpointed(linked.unionByName(rooted.where("root IS NULL").select(*_SET, F.col("least").alias("id"), "copies")))
+    labelled = join_values(own, known, _SET, "copies").select("doc", "n", "id")
+    repeated = labelled.join(again, "doc", "left_semi").select("doc", "id").distinct()
+    wordless = described.where("n = 0 AND doc IS NOT NULL").select("doc", "n").join(repeated, "doc", "left").select("doc", "n", F.coalesce("id", "doc").alias("id"))
+    nameless = described.where("doc IS NULL").select("doc", "n", F.lit(None).cast("bigint").alias("id"))
+    return labelled.unionByName(wordless).unionByName(nameless).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, t: Threshold = Threshold(80, 5), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """The documents without near copies: of each component the document with the least key stays, with all its rows
     if the key is repeated; documents without words or without a key all stay."""
     found = jaccard_components(documents, t, key, text).where("n_shingles > 0 AND component_id IS NOT NULL")
-    drop = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return documents.join(drop, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    drop = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return documents.join(drop, key, "left_anti").select(*(f"`{c}`" for c in documents.columns))
