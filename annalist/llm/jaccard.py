@@ -439,3 +439,19 @@ def one_of_each(documents: DataFrame, t: Threshold = Threshold(80, 5), key: str
     found = jaccard_components(documents, t, key, text).where("n_shingles > 0 AND component_id IS NOT NULL")
     drop = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     return documents.join(drop, key, "left_anti").select(*(f"`{c}`" for c in documents.columns))
+
+
+def oracle_sql(t: Threshold = Threshold()) -> str:  # noqa: B008
+    """jaccard_components(documents) for DuckDB: all pairs that share a shingle are counted, links followed step by step."""
+    grams = " || ' ' || ".join(f"w[i + {j}]" for j in range(t.words))
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ sh AS (SELECT DISTINCT rid, hash({grams}) AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - {t.words - 1})) AS i FROM d WHERE len(w) >= {t.words}) UNION ALL SELECT rid, hash(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND {t.words - 1}),
+ n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+ common AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.rid < y.rid GROUP BY x.rid, y.rid),
+ links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM common JOIN n x ON x.rid = a JOIN n y ON y.rid = b JOIN d p ON p.rid = a JOIN d q ON q.rid = b WHERE 100 * c >= {t.percent} * (x.n + y.n - c) AND p.doc_id <> q.doc_id),
+ edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+ least_ AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN least_ ON least_.doc_id = d.doc_id
+"""

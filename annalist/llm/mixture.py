@@ -8,8 +8,8 @@
    and at most BLOCK_TOKENS, so no source's share is lost in rounding. They go to sources by highest quotients
    target / (2 n + 1), then a source's blocks go to its shards in the same way. Divisors just above and below the average
    bracket the last quotient that wins, so only about two candidates a source are ranked, however many blocks there are.
-4. Inside a shard the documents are laid end to end in the order of a seeded hash. That stream is read from its start
-   until the shard's blocks are full, again and again if they are more than the stream.
+4. Inside a shard the documents are laid end to end in the order of a seeded hash (md5, which other engines have too).
+   That stream is read from its start until the shard's blocks are full, again and again if they are more than it.
 
 The text is read once, to count words; what is kept of it (id, source, size) is cut off by a checkpoint. Windows over all
 sources and over a source's shards hold one row for each, and no text; a shard's window holds its ids and sizes.
@@ -41,6 +41,12 @@ def word_count(text: str) -> Column:
     return F.size(F.filter(F.split(blank, " +"), lambda w: w != "")).cast("bigint")
 
 
+def _draw(key: str, seed: int, start: int, digits: int) -> Column:
+    """A number from some digits of the hash of a document's id and the seed."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), start, digits), 16, 10).cast("bigint")
+
+
 def cycled_weight(position: Column) -> Column:
     """Weights 1, 2, 3, repeating."""
     return (F.pmod(position, F.lit(3)) + 1).cast("double")
@@ -90,7 +96,7 @@ def mix_sources(documents: DataFrame, seed: int = 42, text: str = "text", source
     plan = checkpointed(blocks.withColumn("shards", shards))
 
     doc = sized.alias("d").join(plan.select("source", "shards").alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    doc = doc.select("d.doc", F.col("d.source").alias("source"), "size", F.xxhash64("d.doc", F.lit(seed)).alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "d.doc"), "shards").alias("shard"))
+    doc = doc.select("d.doc", F.col("d.source").alias("source"), "size", _draw("d.doc", seed, 1, 15).alias("draw"), F.pmod(_draw("d.doc", seed, 17, 8), "shards").alias("shard"))
     cells = doc.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     cells = cells.alias("c").join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.source", "shard", "cell_size", "source_size", "target", "block", "blocks")
     quotas = apportion(cells, "cell_size", F.col("blocks"), ["source"], ["shard"], "quota")
@@ -101,3 +107,33 @@ def mix_sources(documents: DataFrame, seed: int = 42, text: str = "text", source
     rounds, rest = F.expr("div(tokens, greatest(cell_size, 1))"), F.expr("pmod(tokens, greatest(cell_size, 1))")
     part = F.greatest(F.lit(0), F.least("end", rest) - F.least(F.col("end") - F.col("size"), rest))
     return joined.withColumn("tokens", tokens).select(F.col("doc").alias(key), F.col("d.source").alias(source), "size", "source_size", "target", (F.col("size") * rounds + part).cast("bigint").alias("taken"))
+
+
+def oracle_sql(seed: int = 42, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, most: int = MOST) -> str:
+    """mix_sources(documents) without the source, for DuckDB: caps found source by source, every quotient ranked."""
+
+    def digits(start: int, n: int) -> str:
+        return f"('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {start}, {n}))::BIGINT"
+
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+ s AS (SELECT source, size, row_number() OVER (ORDER BY source NULLS LAST) AS id, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source)),
+ r AS (SELECT id, source, size, weight, {most}.0::DOUBLE * size AS cap, row_number() OVER (ORDER BY {most}.0::DOUBLE * size / weight, source NULLS LAST) AS place FROM s),
+ steps(place, rate) AS (SELECT 0::BIGINT, (SELECT sum(size)::DOUBLE / sum(weight) FROM r)
+  UNION ALL SELECT t.place + 1, (SELECT (sum(size)::DOUBLE - sum(CASE WHEN place <= t.place + 1 THEN cap ELSE 0 END)) / nullif(sum(CASE WHEN place > t.place + 1 THEN weight ELSE 0 END), 0) FROM r)
+   FROM steps t JOIN r ON r.place = t.place + 1 WHERE t.rate * r.weight > r.cap),
+ rate AS (SELECT coalesce(arg_max(rate, place), 'infinity'::DOUBLE) AS rate FROM steps),
+ t AS (SELECT r.*, least(cap, weight * rate) AS target FROM r, rate),
+ b AS (SELECT greatest(1, least({block_tokens}, floor(min(CASE WHEN target > 0 THEN target END) / {FINENESS})))::BIGINT AS block, (SELECT sum(size) FROM t) AS total FROM t),
+ seats AS (SELECT CAST(ceil(total / block) AS BIGINT) AS seats, coalesce(block, 1) AS block FROM b),
+ ranked AS (SELECT id, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS place FROM t, seats, range(CAST(floor(target / (SELECT sum(target) FROM t) * (seats + (SELECT count(*) FROM t))) AS BIGINT) + 2) q(k) WHERE target > 0),
+ won AS (SELECT id, count(*) AS blocks FROM ranked, seats WHERE place <= seats GROUP BY id),
+ p AS (SELECT t.id, t.source, t.size AS source_size, target, coalesce(blocks, 0) AS blocks, CAST(greatest(1, least({MAX_SHARDS}, ceil(t.size / {shard_tokens}))) AS BIGINT) AS shards FROM t LEFT JOIN won USING (id)),
+ e AS (SELECT d.doc_id, d.size, p.id, {digits(1, 15)} AS draw, {digits(17, 8)} % shards AS shard FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+ c AS (SELECT id, shard, sum(size)::BIGINT AS cell, sum(sum(size)) OVER (PARTITION BY id) AS whole, count(*) OVER (PARTITION BY id) AS n FROM e GROUP BY id, shard),
+ quotients AS (SELECT c.id, shard, row_number() OVER (PARTITION BY c.id ORDER BY cell / (2 * k + 1) DESC, shard, k) AS place FROM c JOIN p USING (id), range(CAST(floor(cell / whole * (blocks + n)) AS BIGINT) + 2) q(k) WHERE cell > 0),
+ quotas AS (SELECT q.id, q.shard, count(*) AS quota FROM quotients q JOIN p USING (id) WHERE place <= blocks GROUP BY q.id, q.shard),
+ laid AS (SELECT *, sum(size) OVER (PARTITION BY id, shard ORDER BY draw, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM e),
+ f AS (SELECT doc_id, laid.size, source_size, target, stop, greatest(cell, 1) AS cell, least(coalesce(quota, 0) * (SELECT block FROM seats), {most} * cell)::BIGINT AS tokens FROM laid JOIN c USING (id, shard) JOIN p USING (id) LEFT JOIN quotas USING (id, shard))
+SELECT doc_id, size, source_size, target, CAST(size * (tokens // cell) + greatest(0, least(stop, tokens % cell) - least(stop - size, tokens % cell)) AS BIGINT) AS taken FROM f
+"""

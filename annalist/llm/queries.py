@@ -141,4 +141,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_jaccard_join, op3_decontamination, op4_token_counts, op5_toxicity, op6_chat_format, op7_mix_sources, op8_language_id, op9_personal_data, op10_quality_rules)}
 
-ORACLES = {"op1_license_scan": licenses.oracle_sql(), "op3_decontamination": decontaminate.oracle_sql(), "op6_chat_format": CHAT_ORACLE, "op10_quality_rules": quality.oracle_sql()}
+ORACLES = {
+    "op1_license_scan": licenses.oracle_sql(),
+    "op2_jaccard_join": jaccard.oracle_sql(),
+    "op3_decontamination": decontaminate.oracle_sql(),
+    "op6_chat_format": CHAT_ORACLE,
+    "op7_mix_sources": mixture.oracle_sql(),
+    "op10_quality_rules": quality.oracle_sql(),
+}

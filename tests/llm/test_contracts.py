@@ -15,9 +15,10 @@ from annalist.llm.learning import held_out
 from annalist.llm.shared import names_aside
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", queries.ORACLES)
-def test_oracle(spark, name):
-    sf = "/root/testdata/sf0.001"
+def test_oracle(spark, name, folder):
+    sf = f"/root/testdata/{folder}"
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
