@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _shared_folder(context: SparkContext) -> str:
     """The cluster's spark.checkpoint.dir. Only where none is set (a session on one machine, as in tests) a local
-    temporary folder is made."""
+    temporary folder is made, which goes when Python ends."""
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="annalist-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -30,12 +33,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written_and_reread(df: DataFrame) -> DataFrame:
-    """The rows from a Parquet table under the shared folder."""
-    context = df.sparkSession.sparkContext
-    folder = f"{_shared_folder(context)}/stage-{uuid.uuid4().hex}"
+def written(df: DataFrame) -> str:
+    """Writes the rows as a Parquet table under the shared folder and gives its folder."""
+    folder = f"{_shared_folder(df.sparkSession.sparkContext)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a table that `written` made and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def names_aside(columns: list[str], added: Iterable[str]) -> dict[str, str]:
