@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: language, near copies, benchmark leaks, personal data, mixture."""
+"""A training corpus from raw documents: language, near copies, benchmark leaks, personal data, mixture.
+
+Each stage reads the Parquet table that the one before has written, and works on all of it. Defined results, beside those
+of the operators: documents with a null, empty or letterless text go in the first stage; of a group of near copies the
+document with the least doc_id stays, with all its rows where the id is repeated, and rows without a doc_id all stay;
+equal texts are near copies of each other; texts of any length are read whole; a null source is a source of its own;
+an empty table gives no rows; further columns, whatever their names, are kept by all stages but the last, which returns
+doc_id, source, size, source_size, target and taken.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import decontaminate, jaccard, language, mixture, pii
 from annalist.llm.learning import held_out
-from annalist.llm.shared import written_and_reread
+from annalist.llm.shared import removed, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written_and_reread(stage(spark, docs, sf_dir))
+        folder = written(stage(spark, docs, sf_dir))
+        docs = spark.read.parquet(folder)
+        if read:
+            removed(spark, read)
+        read = folder
     return STAGES[-1][1](spark, docs, sf_dir)
