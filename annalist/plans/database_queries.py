@@ -188,12 +188,42 @@ def transform_mutable(spark, d):
     return roundtrip.rewritten_rows(spark, d, "mutable", changed).select(SUBJECT, INDEX, "code", "priority", "numeric_value")
 
 
-@query("SELECT subject_id, event_index, 'numeric_value' AS \"column\" FROM ev WHERE src_id % 5 = 0 AND subject_id % 11 <> 0 UNION ALL SELECT subject_id, event_index, NULL FROM ev WHERE subject_id % 11 = 0")
+_DIFFERENT = """SELECT subject_id, event_index, 'numeric_value' AS "column" FROM ev WHERE src_id % 5 = 0 AND subject_id % 11 <> 0 UNION ALL SELECT subject_id, event_index, NULL FROM ev WHERE subject_id % 11 = 0"""
+
+
+@query(_DIFFERENT)
 def verify_report(spark, d):
     """A dataset with other values for some orders and without some subjects, against the database."""
     return roundtrip.differing_events(spark, d)
 
 
+@query(f"SELECT * FROM ({_DIFFERENT}) t WHERE ('0x' || substr(md5(CAST(subject_id AS VARCHAR)), 1, 8))::BIGINT % 3 = 0")
+def verify_sample(spark, d):
+    """The same for one in three subjects."""
+    return roundtrip.differing_events(spark, d, 3)
+
+
+@query("SELECT unnest(['Event', 'Subject', 'SubjectDatabase']) AS name, TRUE AS found", prelude=False)
+def public_names(spark, d):
+    """Names that the package exports."""
+    import annalist
+
+    return spark.createDataFrame([(n, n in annalist.__all__ and hasattr(annalist, n)) for n in ("Event", "Subject", "SubjectDatabase")], "name string, found boolean")
+
+
+@query("SELECT count(DISTINCT subject_id) AS n_subjects, TRUE AS closed FROM ev")
+def database_lifecycle(spark, d):
+    """A database counts inside its block and refuses to map after it."""
+    with roundtrip.timeline_database(spark, d) as database:
+        n = len(database)
+    try:
+        database.map(list)
+        closed = False
+    except RuntimeError:
+        closed = True
+    return spark.createDataFrame([(n, closed)], "n_subjects bigint, closed boolean")
+
+
 @query("SELECT unnest(['code', 'numeric_value', 'priority', 'src_id', 'time']) AS property, unnest([coalesce(sum(strlen(code)), 0), 8 * count(numeric_value), coalesce(sum(strlen(priority)), 0), 8 * count(src_id), 8 * count(time)])::BIGINT AS bytes FROM ev")
 def size_estimate(spark, d):
     return stats.size_estimate(raw_events(spark, d))

@@ -130,13 +130,13 @@ def ancient_database(spark: SparkSession, sf_dir: str) -> SubjectDatabase:
     return SubjectDatabase(once(spark, make, "ancient", sf_dir), 4, spark)
 
 
-def differing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def differing_events(spark: SparkSession, sf_dir: str, one_in: int = 1) -> DataFrame:
     """The database against a dataset without some subjects and with other values for some orders."""
     rows = raw_events(spark, sf_dir).where(F.col(SUBJECT) % 11 != 0)
     changed = rows.withColumn("numeric_value", F.when(F.col("src_id") % 5 == 0, F.col("numeric_value") + 1).otherwise(F.col("numeric_value")))
     source = once(spark, lambda folder: write_rows(changed, folder, {}), "differing", sf_dir)
     schema = spark_schema(check_schemas(spark, data_files(spark, source)))
-    return differences(spark, source, timeline_database(spark, sf_dir).path_to_database, schema)
+    return differences(spark, source, timeline_database(spark, sf_dir).path_to_database, schema, one_in)
 
 
 def mapped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
