@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from annalist.llm import decontaminate, language, mixture, pii, quality, queries
+from annalist.llm import decontaminate, language, mixture, pii, quality, queries, tokens
 from annalist.llm.learning import held_out
 from annalist.llm.shared import names_aside
 
@@ -122,3 +122,32 @@ def test_quality_of_a_long_text():
     row = quality.judge(text, int(n[0]), int(repeats[0]), quality.Rules())
     assert time.perf_counter() - began < 30
     assert row[0] == 1_200_000 and row[8] and n[1] == 0
+
+
+def test_added_columns_win(spark):
+    names = ["score", "lang_pred", "kept", "clean_text", "n_tokens", "redacted", "all_spans", "items", "n_hit"]
+    rows = spark.createDataFrame([(1, "some words of a text, mail a@b.cd", *names), (1, None, *names)], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    model = language.Model(["a"], np.zeros((1 << language.BUCKET_BITS, 1), np.float32), np.zeros(1, np.float32))
+    benchmark = spark.createDataFrame([("1", "words of a text")], "item_id string, text string")
+    made = {
+        ("score", "lang_pred"): language.identify_language(rows, model),
+        ("kept", "clean_text"): quality.judge_quality(rows),
+        ("n_tokens",): tokens.count_tokens(rows),
+        ("redacted", "all_spans"): pii.find_personal_data(rows),
+        ("items", "n_hit"): decontaminate.find_contamination(rows, benchmark),
+    }
+    for added, got in made.items():
+        assert len(got.columns) == len(set(got.columns)) and set(names) <= set(got.columns)
+        for r in got.collect():
+            assert all(r[n] != n for n in added) and all(r[n] == n for n in set(names) - set(added))
+
+
+def test_very_long_texts_of_mixture_and_language(spark):
+    rows = [(1, "ein langer text " * 500_000, "big"), (2, "kurz", "big"), (3, "tiny one", "small"), (4, None, "small")]
+    got = {r.doc_id: r for r in mixture.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got[1].size == 1_500_000 and got[1].taken > 1_000_000 and got[3].taken == 6 and got[4].taken == 0
+    weights = np.random.default_rng(1).normal(size=(1 << language.BUCKET_BITS, 2)).astype(np.float32)
+    model = language.Model(["a", "b"], weights, np.zeros(2, np.float32))
+    langs, scores = language.predict(model, [rows[0][1], "x", None])
+    once = language.predict(model, [rows[0][1][: 1 << 14]])[0]
+    assert langs[0] == once[0] and 0.5 <= scores[0] <= 1 and langs[2] == "und"
