@@ -76,7 +76,7 @@ def test_faults_and_differences():
 def test_id_file_is_cut_to_tasks(spark, tmp_path):
     ids = [3 * i - 10**6 for i in range(200_000)]
     (tmp_path / "ids").write_bytes(struct.pack(f"<{len(ids)}q", *ids))
-    assert as_ids(spark, str(tmp_path / "ids")).agg({"subject_id": "sum", "*": "count"}).first()[:] == (len(ids), sum(ids)) or sorted(r[0] for r in as_ids(spark, str(tmp_path / "ids")).collect()) == ids
+    assert sorted(r[0] for r in as_ids(spark, str(tmp_path / "ids")).collect()) == ids
 
 
 def test_work_folder_is_shared(spark, monkeypatch):
