@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm.arrays import LOWER, NOT_SPACE, mix, mix_int, shingles, slices, words
 from annalist.llm.components import connected_components
-from annalist.llm.shared import checkpointed
+from annalist.llm.shared import checkpointed, join_values, released
 
 PARTS = 64
 DEPTH = 3
@@ -57,8 +57,6 @@ FEW_PARTS = 24
 GROUP = 256
 GROUP_TOKENS = 1 << 20
 HUBS = 4
-#: A key is hot if more than one row in so many has it.
-HOT = 1000
 #: Token matrix cells (documents x tokens) of one product.
 _CELLS = 1 << 24
 _U = np.uint64
@@ -204,19 +202,6 @@ def partitions(described: DataFrame, t: Threshold) -> DataFrame:
     return connected_components(pairs).select(F.col("node").alias("doc"), F.col("component").alias("part"))
 
 
-def join_values(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """rows with the values of their keys, which are distinct in `values`; count: how many rows have the key.
-
-    Keys that more than one row in HOT has are fewer than HOT, so they are broadcast, and no task gets all rows of one."""
-    total, most = values.agg(F.sum(count), F.max(count)).first()
-    plain = values.drop(count)
-    if not total or most * HOT <= total:
-        return rows.join(plain, keys)
-    is_hot = F.col(count) * HOT > total
-    hot = F.broadcast(values.where(is_hot).drop(count))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(values.where(~is_hot).drop(count), keys))
-
-
 class Links:
     """Union-find over the documents of a task."""
 
@@ -283,21 +268,22 @@ def _held(tokens: np.ndarray, union: np.ndarray) -> int:
 
 
 def able_members(own: DataFrame, t: Threshold) -> DataFrame:
-    """doc and level of the rows of own (doc, part, text) of which others of the part hold enough tokens for a link.
-    Exact, as a link needs that much of a set in one other set. Tokens are counted before they are joined."""
+    """doc and n of the rows of own (doc, part, text) of which others of the part and of sizes near theirs hold enough
+    tokens for a link. Exact, as a link needs that much of a set in one other set. A token's rows are streamed by a
+    window, which looks at the members next in size, as they are the ones nearest to a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = token_sets(part.column(2), t.words)
             sizes = np.array([len(s) for s in sets], np.int64)
-            levels = np.array([t.level(len(s)) if len(s) else 0 for s in sets], np.int32)
             at = pa.array(np.repeat(np.arange(len(sets)), sizes))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array(np.repeat(x, sizes)) for x in (levels, sizes)), _signed(np.concatenate(sets))], names=["doc", "part", "level", "n", "token"])
+            cell = mix(np.concatenate(sets) + np.repeat(mix(part.column(1).to_numpy().view(_U)), sizes))  # of the part
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.repeat(sizes, sizes)), _signed(cell)], names=["doc", "n", "cell"])
 
-    cells = own.select("doc", "part", "text").mapInArrow(run, "doc bigint, part bigint, level int, n bigint, token bigint")
-    shared = cells.groupBy("part", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("part", "token")
-    held = cells.join(shared, ["part", "token"]).groupBy("doc", "level", "n").agg(F.count(F.lit(1)).alias("held"))
-    return held.where(100 * F.col("held") >= t.percent * F.col("n")).select("doc", "level").distinct()
+    order = Window.partitionBy("cell").orderBy("n", "doc")
+    cells = own.select("doc", "part", "text").mapInArrow(run, "doc bigint, n bigint, cell bigint")
+    held = cells.withColumn("held", _sizes_link(F.lag("n").over(order), F.col("n"), t) | _sizes_link(F.col("n"), F.lead("n").over(order), t))
+    return held.groupBy("doc", "n").agg(F.count_if("held").alias("held")).where(100 * F.col("held") >= t.percent * F.col("n")).select("doc", "n")
 
 
 def _compared(texts: DataFrame, keys: list[str], t: Threshold) -> DataFrame:
@@ -368,16 +354,18 @@ def verified_links(documents: DataFrame, members: DataFrame, t: Threshold, key:
 
     # large partitions that are still in pieces
     if not large.take(1):
+        released(placed, large, own)
         return first
     found = connected_components(first).select(F.col("node").alias("doc"), F.col("component").alias("piece"))
     pieces = checkpointed(large.drop("groups", "group").join(found, "doc", "left").withColumn("piece", F.coalesce("piece", "doc")))
     broken = pieces.groupBy("part").agg(F.min("piece").alias("least"), F.max("piece").alias("most"), F.count(F.lit(1)).alias("count"))
     open_ = checkpointed(join_values(pieces, broken.where("least <> most").select("part", "count"), ["part"], "count"))
     if not open_.take(1):
+        released(placed, large, own, pieces, open_)
         return first
-    own = own.select("doc", "part", "text").join(open_.select("doc", "part").distinct(), ["doc", "part"])
-    able = checkpointed(able_members(own, t))
-    left = checkpointed(_grouped(open_.join(able, ["doc", "level"]), ["part", "level"]))
+    texts = own.select("doc", "part", "text").join(open_.select("doc", "part").distinct(), ["doc", "part"])
+    able = checkpointed(able_members(texts, t))
+    left = checkpointed(_grouped(open_.join(able, ["doc", "n"]), ["part", "level"]))
     mains = checkpointed(left.groupBy("part", "level", "groups", "piece").agg(F.count(F.lit(1)).alias("count")).groupBy("part", "level", "groups").agg(F.max_by("piece", F.struct("count", "piece")).alias("main"), F.sum("count").alias("count")))
     marked = checkpointed(join_values(left.drop("groups"), mains.drop("groups"), ["part", "level"], "count").withColumn("other", F.col("piece") != F.col("main")))
     blocks = marked.where("other").groupBy("part", "level").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
@@ -393,7 +381,8 @@ def verified_links(documents: DataFrame, members: DataFrame, t: Threshold, key:
     queries = asking.select("doc", "part", F.col("level").alias("low"), "high", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("side"))
     asked = _with_plan(marked, plan.withColumnRenamed("high", "level"), counts)
     targets = asked.select("doc", "part", "low", F.col("level").alias("high"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "group", F.lit(1).alias("side"))
-    second = _compared(own.join(queries.unionByName(targets), ["doc", "part"]), ["part", "low", "high", "block", "group"], t)
+    second = checkpointed(_compared(texts.join(queries.unionByName(targets), ["doc", "part"]), ["part", "low", "high", "block", "group"], t))
+    released(placed, large, own, pieces, open_, able, left, mains, marked, sides)
     return first.unionByName(second)
 
 
@@ -409,12 +398,14 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def jaccard_components(documents: DataFrame, t: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """key, n_shingles and component_id (the least key reachable over links, itself included) for each document."""
-    described = checkpointed(describe(documents, t, key, text))
-    usable = described.where("n > 0 AND doc IS NOT NULL").drop("rows")
+    matrix = checkpointed(describe(documents, t, key, text))
+    described = checkpointed(matrix.withColumn("known", F.size("rows") > 0).drop("rows"))
+    usable = described.where("n > 0 AND doc IS NOT NULL")
     # one document stands for all copies of a set, and is one whose rows are known
-    first = F.coalesce(F.min(F.when(F.size("rows") > 0, F.col("doc"))), F.min("doc"))
-    sets = checkpointed(described.where("n > 0 AND doc IS NOT NULL").groupBy(*_SET).agg(first.alias("stands"), F.min("doc").alias("least"), F.min("level").alias("level"), F.count(F.lit(1)).alias("copies")))
-    members = checkpointed(partitions(described, t).join(sets.select(F.col("stands").alias("doc"), "level", "n").distinct(), "doc"))
+    first = F.coalesce(F.min(F.when(F.col("known"), F.col("doc"))), F.min("doc"))
+    sets = checkpointed(usable.groupBy(*_SET).agg(first.alias("stands"), F.min("doc").alias("least"), F.min("level").alias("level"), F.count(F.lit(1)).alias("copies")))
+    members = checkpointed(partitions(matrix, t).join(sets.select(F.col("stands").alias("doc"), "level", "n").distinct(), "doc"))
+    released(matrix)
     links = verified_links(documents, members, t, key, text)
 
     own = checkpointed(join_values(usable.select("doc", *_SET), sets.select(*_SET, "stands", "copies"), _SET, "copies"))

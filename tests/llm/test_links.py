@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from annalist.llm import jaccard
+from annalist.llm import components, jaccard, shared
 from test_joins import plain_components
 
 SCHEMA = "doc_id bigint, text string"
@@ -65,7 +65,7 @@ def test_large_partitions_in_pieces(spark, monkeypatch, tokens):
 
 
 def test_hot_copies_and_repeated_ids(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(shared, "HOT", 4)
     draw = random.Random(6)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base)) for i in range(100, 300)] + [(i, None) for i in range(300, 380)] + [(None, " ".join(base))] * 30
@@ -89,3 +89,25 @@ def test_a_very_long_text(spark):
     other = [*words[:400_000], "edited", *words[400_001:]]
     rows = [(2, " ".join(words)), (1, " ".join(other)), (3, " ".join(words[:500_000]))]
     same(spark, rows, jaccard.Threshold())
+
+
+@pytest.mark.parametrize(("links", "hot"), [(10**6, 1000), (5, 1000), (5, 6)])
+def test_components_with_hot_nodes(spark, monkeypatch, links, hot):
+    monkeypatch.setattr(components, "LINKS", links)
+    monkeypatch.setattr(shared, "HOT", hot)
+    draw = random.Random(links + hot)
+    pairs = [(10**6, i) for i in range(0, 300)] + [(-7, i) for i in range(250, 500)] + [(i, i + 1) for i in range(600, 700)] + [(5000 - i, 5001 - i) for i in range(90)]
+    pairs += [(draw.randrange(8000, 8400), draw.randrange(8000, 8400)) for _ in range(300)] + pairs[:40]
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = [tuple(r) for r in components.connected_components(spark.createDataFrame(draw.sample(pairs, len(pairs)), "a bigint, b bigint")).collect()]
+    assert sorted(got) == sorted({(x, root(x)) for a, b in pairs if a != b for x in (a, b)})
