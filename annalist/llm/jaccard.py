@@ -5,10 +5,12 @@ set is cut by token hash into d + 1 parts, d being the most tokens by which two
 and the next) can differ. Two linked sets therefore agree on one whole part at least. The work goes in five steps:
 
 1. Matrix: rows are contents of parts, columns are documents. A row that several documents share makes them a group.
-   Of many parts PARTS are looked at: a linked pair agrees on a part with probability 1/e or more, so that all of
-   those miss with probability under 1e-11; Threshold(exact=True) looks at all of them and misses nothing. Empty parts
-   say little and are not rows (but with exact); sets with few parts, where they may be all that two sets share, cut once
-   more inside an empty part with other hashes, DEPTH times, and then it is a row.
+   Parts of one token or none say little: as rows they would tie all documents that have a line in common. Of many
+   parts the first PARTS of two tokens or more are rows: a linked pair agrees on a part with probability 1/e or more, so
+   that all of those miss with probability under 1e-11; Threshold(exact=True) looks at all parts and misses nothing.
+   Where a set has fewer such parts, the others are rows together with a part of a second cut with other hashes, so that
+   a row holds two tokens: each with AGAIN parts of that cut, but in sets with few parts, where they may be all that two
+   sets share, with all, and then those that still hold one token or none are cut again, DEPTH times in all.
 2. Similar documents are partitioned: in order of size, the members of a group fall into runs where a gap in the
    sizes excludes links, each run is tied to its first member, and what is connected is a partition that no link
    leaves. Of the copies of a set one stands for all.
@@ -54,6 +56,8 @@ from annalist.llm.shared import checkpointed, join_values, released
 PARTS = 64
 DEPTH = 3
 FEW_PARTS = 24
+#: Parts of a second cut with which a part of one token, or none, is a row.
+AGAIN = 4
 GROUP = 256
 GROUP_TOKENS = 1 << 20
 HUBS = 4
@@ -112,31 +116,48 @@ def signatures(tokens: np.ndarray, t: Threshold) -> list[np.ndarray]:
             continue
         n = t.parts(at)
         if n <= FEW_PARTS:
-            out.append(np.array(_deep(tokens, at, n, 0, mix_int(at + 1)), dtype=_U))
+            out.append(_deep(tokens, at, n))
             continue
-        part = (mix(tokens + _U(mix_int(1000 + at))) >> _U(33)) % _U(n)
-        own = tokens
-        if n > PARTS and not t.exact:
-            seen = part < PARTS
-            part, own = part[seen], tokens[seen]
-        sums = np.zeros(n if t.exact else min(n, PARTS), dtype=_U)
-        np.add.at(sums, part.astype(np.int64), mix(own))
-        used = np.arange(len(sums)) if t.exact else np.flatnonzero(sums)
-        out.append(mix(sums[used] + mix(used.astype(_U) + _U(mix_int(7 + at)))))
+        looked = n if t.exact else min(n, 2 * PARTS)
+        sums, held = _cut(tokens, n, looked, 1000 + at)
+        used = np.arange(looked) if t.exact else np.flatnonzero(held > 1)[:PARTS]
+        rows = mix(sums[used] + mix(used.astype(_U) + _U(mix_int(7 + at))))
+        if not t.exact and len(used) < PARTS:
+            thin = np.repeat(np.flatnonzero(held < 2), AGAIN)
+            other, among = _cut(tokens, n, n, 3000 + at)
+            with_ = (AGAIN * thin + np.arange(len(thin)) % AGAIN) % n
+            many = (held[thin] + among[with_] > 1) & ((among[with_] > 1) | (other[with_] != sums[thin]))
+            thin, with_ = thin[many], with_[many]
+            rows = np.append(rows, mix(mix(sums[thin] + mix(thin.astype(_U) + _U(mix_int(7 + at)))) + mix(other[with_] + mix(with_.astype(_U) + _U(mix_int(5000 + at))))))
+        out.append(rows)
     return out
 
 
-def _deep(tokens: np.ndarray, level: int, n: int, depth: int, path: int) -> list[int]:
-    part = (mix(tokens + _U(mix_int(2000 + 50 * level + depth))) >> _U(33)) % _U(n)
-    sums = np.zeros(n, dtype=_U)
-    np.add.at(sums, part.astype(np.int64), mix(tokens))
+def _cut(tokens: np.ndarray, n: int, looked: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first parts of n: the sums of their tokens' hashes, and how many they hold."""
+    part = ((mix(tokens + _U(mix_int(seed))) >> _U(33)) % _U(n)).astype(np.int64)
+    if looked < n:
+        seen = part < looked
+        part, tokens = part[seen], tokens[seen]
+    sums = np.zeros(looked, dtype=_U)
+    np.add.at(sums, part, mix(tokens))
+    return sums, np.bincount(part, minlength=looked)
+
+
+def _deep(tokens: np.ndarray, level: int, n: int) -> np.ndarray:
+    """Rows of all parts; those that hold one token, or none, are cut once more with other hashes, DEPTH times."""
+    path, only = np.array([mix_int(level + 1)], dtype=_U), np.zeros(1, dtype=_U)  # only: the one token of a path's parts, if any
+    part = np.arange(n, dtype=_U)
     out = []
-    for p, s in enumerate(sums.tolist()):
-        if s or depth == DEPTH or n == 1:
-            out.append(mix_int(path ^ mix_int(s + p)))
-        else:
-            out += _deep(tokens, level, n, depth + 1, mix_int(path + 31 * p + 1))
-    return out
+    for depth in range(DEPTH + 1):
+        sums, held = _cut(tokens, n, n, 2000 + 50 * level + depth)
+        at, one = path[:, None], only[:, None]
+        whole = (held > 1) | ((held == 1) & (one != 0) & (sums != one)) | (depth == DEPTH or n == 1)
+        out.append(mix((at ^ mix(sums + part))[whole]))
+        path, only = mix(at + _U(31) * part + _U(1) + sums)[~whole], np.where(one != 0, one, sums)[~whole]
+        if not len(path):
+            break
+    return np.concatenate(out)
 
 
 def token_sets(column: pa.Array, k: int) -> list[np.ndarray]:
