@@ -17,6 +17,7 @@ from annalist.operators.stats import value_dictionary
 from annalist.operators.timeline import lookup, missing_subjects, with_positions
 from annalist.sources import files
 from annalist.sources.convert import read_header
+from annalist.sources.sizes import by_hash, database_tasks
 from annalist.subject import Event, Subject
 
 A = TypeVar("A")
@@ -131,6 +132,9 @@ class SubjectDatabase:
         part = F.when(F.col("position") < long, F.floor(F.col("position") / (size + 1))).otherwise(rest + F.floor((F.col("position") - long) / max(size, 1)))
         return at.withColumn("part", part.cast("int")).drop("position")
 
+    def _tasks(self, more: int = 0) -> int | None:
+        return database_tasks(self.spark, self.path_to_database, self.subjects, more)
+
     def _require(self, ids: DataFrame) -> None:
         if missing := [r[0] for r in missing_subjects(ids, self.spark.read.parquet(f"{self.path_to_database}/subjects")).orderBy(SUBJECT).limit(1).collect()]:
             raise KeyError(missing[0])
@@ -188,7 +192,7 @@ class SubjectDatabase:
         """A DataFrame of the rows that the function gives for each subject, one by one."""
         self._check_open()
         names = self._names(properties)
-        clustered = self.events.select(SUBJECT, INDEX, *names).repartition(SUBJECT).sortWithinPartitions(SUBJECT, INDEX)
+        clustered = by_hash(self.events.select(SUBJECT, INDEX, *names), self._tasks(), SUBJECT).sortWithinPartitions(SUBJECT, INDEX)
         arrow = _arrow_schema(self.spark, schema)
 
         def run(batches):

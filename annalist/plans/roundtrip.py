@@ -24,6 +24,7 @@ from annalist.sources import files
 from annalist.sources.convert import convert
 from annalist.sources.dataset import check_schemas, data_files, read_dataset
 from annalist.sources.schema import spark_schema
+from annalist.sources.sizes import by_range, tasks
 from annalist.sources.subset import write_subset
 from annalist.transform import transform_dataset
 from annalist.verify import differences
@@ -56,7 +57,7 @@ def once(spark: SparkSession, make: Callable[[str], None], *key: str) -> str:
 
 def write_rows(rows: DataFrame, folder: str, metadata: dict) -> None:
     """A dataset of rows with src_id: a subject's rows stand together, in order, in one file."""
-    dealt = rows.repartitionByRange(SUBJECT).sortWithinPartitions(SUBJECT, F.col("time").asc_nulls_first(), F.col("src_id").asc_nulls_first())
+    dealt = by_range(rows, tasks(rows.count()), SUBJECT).sortWithinPartitions(SUBJECT, F.col("time").asc_nulls_first(), F.col("src_id").asc_nulls_first())
     dealt.write.option("compression", "zstd").parquet(f"{folder}/data")
     files.write_bytes(rows.sparkSession, f"{folder}/metadata/dataset.json", json.dumps(metadata).encode())
 

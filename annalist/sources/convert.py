@@ -23,6 +23,7 @@ from annalist.operators.validate import violations
 from annalist.sources import files
 from annalist.sources.dataset import FILE, ROW, check_schemas, data_files, normalised, positioned, scan
 from annalist.sources.schema import properties_of, spark_schema, type_named
+from annalist.sources.sizes import by_range, narrow, scan_tasks
 
 VERSION = 1
 
@@ -46,12 +47,13 @@ def read_header(spark: SparkSession, path: str) -> dict[str, pa.DataType]:
     return {k: type_named(v) for k, v in header["properties"].items()}
 
 
-def write_tables(events: DataFrame, target: str, mode: str) -> None:
-    """Events are clustered and sorted already. Subjects are counted from what was written, reading one column."""
+def write_tables(events: DataFrame, target: str, mode: str, parts: int | None) -> None:
+    """Events are clustered and sorted already, in so many parts. Subjects are counted from what was written, reading
+    one column."""
     spark = events.sparkSession
     events.write.mode(mode).option("compression", "zstd").parquet(f"{target}/events")
     counts = subject_counts(spark.read.parquet(f"{target}/events"))
-    counts.repartitionByRange(SUBJECT).sortWithinPartitions(SUBJECT).write.mode(mode).option("compression", "zstd").parquet(f"{target}/subjects")
+    by_range(counts, narrow(parts), SUBJECT).sortWithinPartitions(SUBJECT).write.mode(mode).option("compression", "zstd").parquet(f"{target}/subjects")
 
 
 def convert(spark: SparkSession, source: str, target: str, num_threads: int | None = None, strict: bool = True, mode: str = "errorifexists", dictionaries: Sequence[str] = ()) -> None:
@@ -59,22 +61,24 @@ def convert(spark: SparkSession, source: str, target: str, num_threads: int | No
 
     Strict mode raises on rows that break a rule, before anything is written; otherwise rows of a subject are joined
     in order of file and row, wherever they stand. Rows without a subject are never accepted. The dictionary of each
-    property named is written too, which takes an aggregation of its values.
+    property named is written too, which takes an aggregation of its values. Events are dealt to num_threads tasks or
+    more, so that no task sorts more rows as the dataset grows.
     """
     if mode == "errorifexists" and files.exists(spark, target):
         raise FileExistsError(target)
     names = data_files(spark, source)
     declared = check_schemas(spark, names)
     rows = scan(spark, source, spark_schema(declared))
+    parts = scan_tasks(spark, rows, f"{source}/data", num_threads)
     if strict:
-        found = violations(positioned(rows.select(SUBJECT, "time", FILE, ROW)), FILE, ROW)
+        found = violations(positioned(rows.select(SUBJECT, "time", FILE, ROW), parts), FILE, ROW)
         faults = found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min(SUBJECT).alias("first")).orderBy("rule").collect()
         if faults:
             raise DatasetError("; ".join(f"{r.rule}: {r.n} (first subject {r.first})" for r in faults))
     elif rows.where(F.col(SUBJECT).isNull()).limit(1).count():
         raise DatasetError("null_subject")
-    clustered = positioned(normalised(rows), num_threads).drop(FILE, ROW)
-    write_tables(clustered.sortWithinPartitions(SUBJECT, INDEX), target, "overwrite" if mode == "overwrite" else "errorifexists")
+    clustered = positioned(normalised(rows), parts).drop(FILE, ROW)
+    write_tables(clustered.sortWithinPartitions(SUBJECT, INDEX), target, "overwrite" if mode == "overwrite" else "errorifexists", parts)
     write_header(spark, target, properties_of(declared), "overwrite")
     for name in dictionaries:
         found = value_dictionary(spark.read.parquet(f"{target}/events"), name)

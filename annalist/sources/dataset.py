@@ -10,6 +10,7 @@ from annalist.functions.columns import INDEX, SUBJECT, empty_to_null
 from annalist.sources import files
 from annalist.sources.footers import Declared, distinct_schemas
 from annalist.sources.schema import SchemaError, schema_difference, schema_faults, spark_schema
+from annalist.sources.sizes import by_range, scan_tasks
 
 FILE, ROW = "_file", "_row"
 
@@ -44,9 +45,8 @@ def positioned(rows: DataFrame, partitions: int | None = None) -> DataFrame:
 
     The window uses the range partitioning as it is, so the rows are shuffled once.
     """
-    dealt = rows.repartitionByRange(partitions, SUBJECT) if partitions else rows.repartitionByRange(SUBJECT)
     by = Window.partitionBy(SUBJECT).orderBy(FILE, ROW)
-    return dealt.withColumn(INDEX, (F.row_number().over(by) - 1).cast("bigint"))
+    return by_range(rows, partitions, SUBJECT).withColumn(INDEX, (F.row_number().over(by) - 1).cast("bigint"))
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -56,6 +56,7 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str, strict: bool = True, partitions: int | None = None) -> DataFrame:
-    """The events of a dataset with event_index; strict checks every file's schema first."""
+    """The events of a dataset with event_index, in `partitions` or more; strict checks every file's schema first."""
     schema = spark_schema(check_schemas(spark, data_files(spark, path))) if strict else None
-    return positioned(normalised(scan(spark, path, schema)), partitions).drop(FILE, ROW)
+    rows = scan(spark, path, schema)
+    return positioned(normalised(rows), scan_tasks(spark, rows, f"{path}/data", partitions)).drop(FILE, ROW)

@@ -21,6 +21,12 @@ def copy_tree(spark: SparkSession, source: str, target: str) -> None:
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, to_fs, b, False, spark._jsc.hadoopConfiguration())
 
 
+def total_bytes(spark: SparkSession, folder: str) -> int:
+    """The size of all files below a folder."""
+    path, fs = _path(spark, folder)
+    return fs.getContentSummary(path).getLength()
+
+
 def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
     """A small new file."""
     path, fs = _path(spark, name)

@@ -47,7 +47,7 @@ def write_subset(spark: SparkSession, source: str, target: str, ids: DataFrame |
     if missing:
         raise KeyError(f"Could not find subject_id {', '.join(map(str, missing))}")
     chosen = select_subjects(spark.read.parquet(f"{source}/events"), wanted)
-    write_tables(chosen.repartitionByRange(SUBJECT).sortWithinPartitions(SUBJECT, "event_index"), target, "errorifexists")
+    write_tables(chosen.repartitionByRange(SUBJECT).sortWithinPartitions(SUBJECT, "event_index"), target, "errorifexists", None)
     write_header(spark, target, properties, "errorifexists")
     if files.exists(spark, f"{source}/metadata"):
         files.copy_tree(spark, f"{source}/metadata", f"{target}/metadata")
