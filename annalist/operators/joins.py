@@ -31,9 +31,11 @@ def difference_count(left: DataFrame, right: DataFrame) -> DataFrame:
     return tagged.groupBy(*columns).agg(F.sum("_side").alias("_net")).agg(F.coalesce(F.sum(F.abs("_net")), F.lit(0).cast("bigint")).alias("n_diff"))
 
 
-def event_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+def event_differences(left: DataFrame, right: DataFrame, partitions: int | None = None) -> DataFrame:
     """(subject_id, event_index, column) for events that only one side has (column null) or that differ in a column;
-    null equals null and NaN equals NaN."""
+    null equals null and NaN equals NaN. The sides meet in so many tasks, or in as many as the session shuffles to."""
+    if partitions:
+        left, right = (side.repartition(partitions, SUBJECT, INDEX) for side in (left, right))
     names = [c for c in left.columns if c not in (SUBJECT, INDEX)]
     a, b = left.alias("a"), right.alias("b")
     key = (F.col(f"a.{SUBJECT}") == F.col(f"b.{SUBJECT}")) & (F.col(f"a.{INDEX}") == F.col(f"b.{INDEX}"))

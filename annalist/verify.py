@@ -12,15 +12,19 @@ from annalist.sources.convert import read_header
 from annalist.sources.dataset import data_files, normalised, positioned, scan
 from annalist.sources.footers import distinct_schemas
 from annalist.sources.schema import name_difference, schema_faults, spark_schema
+from annalist.sources.sizes import scan_tasks
 
 
 def differences(spark: SparkSession, dataset: str, database: str, schema: StructType, one_in: int = 1) -> DataFrame:
     """(subject_id, event_index, column) where events of a dataset and a database differ, or only one has them (column
     null); of all subjects, or of one in so many."""
     names = sorted(set(schema.fieldNames()) - {SUBJECT, INDEX})
-    wanted = positioned(sample_subjects(normalised(scan(spark, dataset, schema)), one_in))
-    stored = sample_subjects(spark.read.parquet(f"{database}/events"), one_in)
-    return event_differences(wanted.select(SUBJECT, INDEX, *names), stored.select(SUBJECT, INDEX, *names))
+    rows, events = scan(spark, dataset, schema), spark.read.parquet(f"{database}/events")
+    given, held = scan_tasks(spark, rows, f"{dataset}/data"), scan_tasks(spark, events, f"{database}/events")
+    wanted = positioned(sample_subjects(normalised(rows), one_in), given)
+    stored = sample_subjects(events, one_in)
+    both = (given or 1) + (held or 1) if given or held else None
+    return event_differences(wanted.select(SUBJECT, INDEX, *names), stored.select(SUBJECT, INDEX, *names), both)
 
 
 def verify_database(spark: SparkSession, dataset: str, database: str, shown: int = 10, one_in: int = 1) -> list[str]:

@@ -6,7 +6,9 @@ from test_database import events, write_dataset
 from annalist import SubjectDatabase, convert
 from annalist.plans import roundtrip
 from annalist.sources import sizes
-from annalist.sources.dataset import read_dataset
+from annalist.sources.dataset import check_schemas, data_files, read_dataset
+from annalist.sources.schema import spark_schema
+from annalist.verify import differences
 
 N = 400
 ROWS = [{"subject_id": i, "code": c} for i in range(N) for c in ("a", f"b{i}")]
@@ -47,3 +49,9 @@ def test_dataset_of_rows(spark, tmp_path, few):
     rows = spark.createDataFrame([(i,) for i in range(N)], "subject_id bigint").selectExpr("subject_id", "CAST(NULL AS timestamp_ntz) AS time", "'a' AS code", "subject_id AS src_id")
     roundtrip.write_rows(rows, str(tmp_path / "rows"), {})
     assert n_files(tmp_path / "rows/data") >= 3 and read_dataset(spark, str(tmp_path / "rows")).count() == N
+
+
+def test_differences(db, source, spark):
+    schema = spark_schema(check_schemas(spark, data_files(spark, source)))
+    found = differences(spark, source, db.path_to_database, schema)
+    assert found.rdd.getNumPartitions() == 16 and found.count() == 0
