@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.columns import INDEX, SUBJECT
-from annalist.operators.groups import grouped, records
+from annalist.operators.groups import CHUNKS, chunks, grouped, ordered, records
 from annalist.operators.stats import value_dictionary
 from annalist.operators.timeline import lookup, missing_subjects, with_positions
 from annalist.sources import files
 from annalist.sources.convert import read_header
-from annalist.sources.sizes import by_hash, database_tasks
+from annalist.sources.sizes import by_hash, database_tasks, narrow
 from annalist.subject import Event, Subject
 
 A = TypeVar("A")
@@ -121,13 +121,13 @@ class SubjectDatabase:
             return self.subjects.select(SUBJECT, F.lit(1).alias("visits"))
         return self._ids.groupBy(SUBJECT).agg(F.count(F.lit(1)).cast("int").alias("visits"))
 
-    def _dealt(self, ids: DataFrame) -> DataFrame:
+    def _dealt(self, ids: DataFrame, tasks: int | None) -> DataFrame:
         """ids with part: consecutive ids in num_threads parts whose sizes differ by one at most."""
         n = self.num_threads
         if n == 1:
             return ids.withColumn("part", F.lit(0))
         size, rest = divmod(ids.count(), n)
-        at = with_positions(ids, SUBJECT)
+        at = with_positions(ids, SUBJECT, partitions=narrow(tasks))
         long = rest * (size + 1)
         part = F.when(F.col("position") < long, F.floor(F.col("position") / (size + 1))).otherwise(rest + F.floor((F.col("position") - long) / max(size, 1)))
         return at.withColumn("part", part.cast("int")).drop("position")
@@ -147,13 +147,13 @@ class SubjectDatabase:
         visits = self._visits()
         if self._ids is not None:
             self._require(visits)
-        events = self.all_events.select(SUBJECT, INDEX, *names).join(self._dealt(visits), SUBJECT)
+        tasks = self._tasks()
+        events = by_hash(self.all_events.select(SUBJECT, INDEX, *names), tasks, SUBJECT).join(by_hash(self._dealt(visits, tasks), tasks, SUBJECT), SUBJECT)
         if self._ids is not None:
             events = events.withColumn("visit", F.explode(F.sequence(F.lit(1), "visits")))
         else:
             events = events.withColumn("visit", F.lit(1))
-        dealt = events.drop("visits").repartitionById(self.num_threads, F.col("part")).sortWithinPartitions(SUBJECT, "visit", INDEX)
-        return _results(dealt, lambda rows: (Subject(k[0], [_event(r, names) for r in own]) for k, own in grouped(rows, SUBJECT, "visit")), map_func)
+        return self._results(events.drop("visits"), tasks, (SUBJECT, "visit", INDEX), lambda rows: (Subject(k[0], [_event(r, names) for r in own]) for k, own in grouped(rows, SUBJECT, "visit")), map_func)
 
     def map_with_data(self, map_func: Callable[[Iterator[tuple[Subject, list]]], A], data: Any, assume_sorted: bool = False, properties: Sequence[str] | None = None) -> Iterator[A]:
         """Like map, on the subjects that `data` has rows of, each with its rows as named tuples in their order.
@@ -170,10 +170,10 @@ class SubjectDatabase:
             packed = packed.join(self._ids.select(SUBJECT), SUBJECT, "left_semi")
         ids = packed.select(SUBJECT).distinct()
         self._require(ids)
-        parts = self._dealt(ids)
-        events = self.all_events.select(SUBJECT, INDEX, *names).join(parts, SUBJECT).withColumn("kind", F.lit(1))
-        both = packed.join(parts, SUBJECT).withColumn("kind", F.lit(0)).unionByName(events, allowMissingColumns=True)
-        dealt = both.repartitionById(self.num_threads, F.col("part")).sortWithinPartitions(SUBJECT, "kind", INDEX)
+        tasks = self._tasks(packed.count())
+        parts = by_hash(self._dealt(ids, tasks), tasks, SUBJECT)
+        events = by_hash(self.all_events.select(SUBJECT, INDEX, *names), tasks, SUBJECT).join(parts, SUBJECT).withColumn("kind", F.lit(1))
+        both = by_hash(packed, tasks, SUBJECT).join(parts, SUBJECT).withColumn("kind", F.lit(0)).unionByName(events, allowMissingColumns=True)
 
         def pairs(rows):
             row_type = collections.namedtuple("Pandas", columns, rename=True)
@@ -186,7 +186,23 @@ class SubjectDatabase:
                         found.append(_event(r, names))
                 yield Subject(subject_id, found), extra
 
-        return _results(dealt, pairs, map_func)
+        return self._results(both, tasks, (SUBJECT, "kind", INDEX), pairs, map_func)
+
+    def _results(self, rows: DataFrame, tasks: int | None, order: Sequence[str], items: Callable[[Iterator[dict]], Iterator[Any]], func: Callable[[Iterator[Any]], A]) -> Iterator[A]:
+        """What the function returns for each part, empty ones included; one pickled cell a part.
+
+        A part is a num_threads-th of the rows, too many for one task's sort. So as many tasks as the rows ask for sort
+        ranges of them and pack these to chunks; a part's task has only the chunks' places to sort.
+        """
+        pieces = max(self.num_threads, tasks or 1)
+        packed = rows.repartitionByRange(pieces, "part", SUBJECT).sortWithinPartitions("part", *order).mapInArrow(chunks, CHUNKS)
+
+        def run(batches):
+            result = func(items(records(ordered(batches))))
+            yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(result)], pa.binary())], names=["result"])
+
+        found = packed.repartitionById(self.num_threads, F.col("part")).mapInArrow(run, "result binary").toLocalIterator(prefetchPartitions=True)
+        return (cloudpickle.loads(bytes(r.result)) for r in found)
 
     def map_to_df(self, map_func: Callable[[Subject], Iterable[dict[str, Any]]], schema: str, properties: Sequence[str] | None = None) -> DataFrame:
         """A DataFrame of the rows that the function gives for each subject, one by one."""
@@ -227,14 +243,3 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(spark.createDataFrame([], schema).schema)
-
-
-def _results(dealt: DataFrame, items: Callable[[Iterator[dict]], Iterator[Any]], func: Callable[[Iterator[Any]], A]) -> Iterator[A]:
-    """What the function returns for each partition, empty ones included; one pickled cell a partition."""
-
-    def run(batches):
-        result = func(items(records(batches)))
-        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(result)], pa.binary())], names=["result"])
-
-    rows = dealt.mapInArrow(run, "result binary").toLocalIterator(prefetchPartitions=True)
-    return (cloudpickle.loads(bytes(r.result)) for r in rows)

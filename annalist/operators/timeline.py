@@ -36,13 +36,13 @@ def subject_offsets(events: DataFrame) -> DataFrame:
     return with_positions(events.select(SUBJECT).distinct(), SUBJECT).select(F.col("position").alias("subject_offset"), SUBJECT)
 
 
-def with_positions(rows: DataFrame, *keys: str | Column) -> DataFrame:
+def with_positions(rows: DataFrame, *keys: str | Column, partitions: int | None = None) -> DataFrame:
     """Adds position, the 0-based rank in the order of keys, which must be distinct as a whole.
 
     Rows are range-partitioned and numbered inside partitions; the partitions' sizes, a handful of numbers that does
     not grow with the rows, give each partition its first number.
     """
-    dealt = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    dealt = (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).withColumn("_part", F.spark_partition_id())
     inside = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_begin"))

@@ -144,8 +144,11 @@ def mapped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a function gives for each of four parts of the subjects."""
 
     def summary(subjects):
-        found = [(s.subject_id, len(s.events)) for s in subjects]
-        return (len(found), min(found)[0], max(found)[0], sum(n for _, n in found)) if found else None
+        n_subjects, n_events, ids = 0, 0, []
+        for s in subjects:
+            n_subjects, n_events = n_subjects + 1, n_events + len(s.events)
+            ids = [min(*ids, s.subject_id), max(*ids, s.subject_id)] if ids else [s.subject_id] * 2
+        return (n_subjects, *ids, n_events) if ids else None
 
     rows = [(k + 1, *r) for k, r in enumerate(timeline_database(spark, sf_dir).map(summary, properties=["code"])) if r]
     return spark.createDataFrame(rows, "part bigint, n_subjects bigint, lo bigint, hi bigint, n_events bigint")
@@ -155,8 +158,11 @@ def mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The urgent orders, and all events before them, summed by a function of subjects and their orders for each part."""
 
     def count(pairs):
-        found = [sum(e.time is not None and e.time < r.cutoff for e in s.events) for s, rows in pairs for r in rows]
-        return len(found), sum(found)
+        n_rows = n_prior = 0
+        for s, rows in pairs:
+            n_rows += len(rows)
+            n_prior += sum(e.time is not None and e.time < r.cutoff for r in rows for e in s.events)
+        return n_rows, n_prior
 
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderpriority").startswith("1"))
     side = orders.select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("cutoff"))

@@ -55,3 +55,13 @@ def test_differences(db, source, spark):
     schema = spark_schema(check_schemas(spark, data_files(spark, source)))
     found = differences(spark, source, db.path_to_database, schema)
     assert found.rdd.getNumPartitions() == 16 and found.count() == 0
+
+
+def test_maps(db, spark):
+    """Parts are put together from ranges that more tasks sort, in order."""
+    ids = [x for part in db.map(lambda subjects: [(s.subject_id, [e.code for e in s.events]) for s in subjects]) for x in part]
+    assert db._tasks() == 8 and ids == [(i, ["a", f"b{i}"]) for i in range(N)]
+    assert [len(part) for part in db.filter([9, 9, *range(50, 160)]).map(list)] == [38, 37, 37]
+    side = spark.createDataFrame([(i, k) for k in range(2) for i in range(0, N, 4)], "subject_id bigint, mark int")
+    pairs = [x for part in db.map_with_data(lambda it: [(s.subject_id, len(s.events), [r.mark for r in rows]) for s, rows in it], side) for x in part]
+    assert pairs == [(i, 2, [0, 1]) for i in range(0, N, 4)]
