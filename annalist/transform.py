@@ -13,6 +13,7 @@ from annalist.operators.groups import grouped, records
 from annalist.sources import files
 from annalist.sources.dataset import FILE, ROW, check_schemas, data_files, scan
 from annalist.sources.schema import spark_schema
+from annalist.sources.sizes import by_hash, scan_tasks
 from annalist.subject import MutableSubject, rows_from_subject, subject_from_rows
 
 _ROWS = 4096
@@ -22,7 +23,8 @@ def transform_dataset(source: str, target: str, transform_func: Callable[[Mutabl
     """Writes the dataset that a function makes of each subject, or none of it where it returns None.
 
     The source's schema is kept: properties it doesn't have are dropped, those an event lacks are null. Files' schemas
-    have to be equal, order included. Subjects are dealt to num_threads tasks, or to as many as the session shuffles to.
+    have to be equal, order included. Subjects are dealt to num_threads tasks, or to as many as the session shuffles to;
+    to more if these would have to sort too many rows each.
     Events are written in the order the function leaves them in; a later conversion
     checks them.
     """
@@ -32,7 +34,7 @@ def transform_dataset(source: str, target: str, transform_func: Callable[[Mutabl
     schema = spark_schema(check_schemas(spark, data_files(spark, source), ordered=True))
     names, arrow = schema.fieldNames(), to_arrow_schema(schema)
     rows = scan(spark, source, schema)
-    rows = (rows.repartition(num_threads, SUBJECT) if num_threads else rows.repartition(SUBJECT)).sortWithinPartitions(SUBJECT, FILE, ROW).drop(FILE, ROW)
+    rows = by_hash(rows, scan_tasks(spark, rows, f"{source}/data", num_threads), SUBJECT).sortWithinPartitions(SUBJECT, FILE, ROW).drop(FILE, ROW)
 
     def run(batches):
         held = []

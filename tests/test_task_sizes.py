@@ -3,7 +3,7 @@
 import pytest
 from test_database import events, write_dataset
 
-from annalist import SubjectDatabase, convert
+from annalist import SubjectDatabase, convert, transform_dataset
 from annalist.plans import roundtrip
 from annalist.sources import sizes
 from annalist.sources.dataset import check_schemas, data_files, read_dataset
@@ -65,3 +65,10 @@ def test_maps(db, spark):
     side = spark.createDataFrame([(i, k) for k in range(2) for i in range(0, N, 4)], "subject_id bigint, mark int")
     pairs = [x for part in db.map_with_data(lambda it: [(s.subject_id, len(s.events), [r.mark for r in rows]) for s, rows in it], side) for x in part]
     assert pairs == [(i, 2, [0, 1]) for i in range(0, N, 4)]
+
+
+def test_rewriting(source, spark, tmp_path, few):
+    transform_dataset(source, str(tmp_path / "out"), lambda s: s, 2, spark)
+    assert n_files(tmp_path / "out/data") >= 5
+    found = read_dataset(spark, str(tmp_path / "out"))
+    assert found.rdd.getNumPartitions() >= 7 and sorted((r.subject_id, r.code) for r in found.collect()) == sorted((r["subject_id"], r["code"]) for r in ROWS)
