@@ -13,6 +13,7 @@ from annalist.functions.columns import SUBJECT
 from annalist.operators.timeline import missing_subjects, select_subjects
 from annalist.sources import files
 from annalist.sources.convert import read_header, write_header, write_tables
+from annalist.sources.sizes import by_range, database_tasks
 
 
 def read_id_file(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +43,13 @@ def write_subset(spark: SparkSession, source: str, target: str, ids: DataFrame |
     if files.exists(spark, target):
         raise FileExistsError(target)
     properties = read_header(spark, source)
-    wanted = as_ids(spark, ids)
-    missing = [r[0] for r in missing_subjects(wanted, spark.read.parquet(f"{source}/subjects")).orderBy(SUBJECT).limit(5).collect()]
+    wanted, subjects = as_ids(spark, ids), spark.read.parquet(f"{source}/subjects")
+    missing = [r[0] for r in missing_subjects(wanted, subjects).orderBy(SUBJECT).limit(5).collect()]
     if missing:
         raise KeyError(f"Could not find subject_id {', '.join(map(str, missing))}")
     chosen = select_subjects(spark.read.parquet(f"{source}/events"), wanted)
-    write_tables(chosen.repartitionByRange(SUBJECT).sortWithinPartitions(SUBJECT, "event_index"), target, "errorifexists", None)
+    parts = database_tasks(spark, source, select_subjects(subjects, wanted))
+    write_tables(by_range(chosen, parts, SUBJECT).sortWithinPartitions(SUBJECT, "event_index"), target, "errorifexists", parts)
     write_header(spark, target, properties, "errorifexists")
     if files.exists(spark, f"{source}/metadata"):
         files.copy_tree(spark, f"{source}/metadata", f"{target}/metadata")

@@ -3,7 +3,7 @@
 import pytest
 from test_database import events, write_dataset
 
-from annalist import SubjectDatabase, convert, transform_dataset
+from annalist import SubjectDatabase, convert, transform_dataset, write_subset
 from annalist.plans import roundtrip
 from annalist.sources import sizes
 from annalist.sources.dataset import check_schemas, data_files, read_dataset
@@ -43,6 +43,8 @@ def test_conversion(db, spark, tmp_path):
     assert n_files(tmp_path / "db/events") >= 7
     rows = db.map_to_df(lambda s: [{"id": s.subject_id, "last": s.events[-1].code}], "id bigint, last string", properties=["code"])
     assert rows.rdd.getNumPartitions() == 8 and sorted(map(tuple, rows.collect())) == [(i, f"b{i}") for i in range(N)]
+    write_subset(spark, db.path_to_database, str(tmp_path / "half"), list(range(0, N, 2)))
+    assert n_files(tmp_path / "half/events") >= 3 and list(SubjectDatabase(str(tmp_path / "half"), spark=spark)) == list(range(0, N, 2))
 
 
 def test_dataset_of_rows(spark, tmp_path, few):
@@ -51,6 +53,13 @@ def test_dataset_of_rows(spark, tmp_path, few):
     assert n_files(tmp_path / "rows/data") >= 3 and read_dataset(spark, str(tmp_path / "rows")).count() == N
 
 
+def test_rewriting(source, spark, tmp_path, few):
+    transform_dataset(source, str(tmp_path / "out"), lambda s: s, 2, spark)
+    assert n_files(tmp_path / "out/data") >= 5
+    found = read_dataset(spark, str(tmp_path / "out"))
+    assert found.rdd.getNumPartitions() >= 7 and sorted((r.subject_id, r.code) for r in found.collect()) == sorted((r["subject_id"], r["code"]) for r in ROWS)
+
+
 def test_differences(db, source, spark):
     schema = spark_schema(check_schemas(spark, data_files(spark, source)))
     found = differences(spark, source, db.path_to_database, schema)
@@ -65,10 +74,3 @@ def test_maps(db, spark):
     side = spark.createDataFrame([(i, k) for k in range(2) for i in range(0, N, 4)], "subject_id bigint, mark int")
     pairs = [x for part in db.map_with_data(lambda it: [(s.subject_id, len(s.events), [r.mark for r in rows]) for s, rows in it], side) for x in part]
     assert pairs == [(i, 2, [0, 1]) for i in range(0, N, 4)]
-
-
-def test_rewriting(source, spark, tmp_path, few):
-    transform_dataset(source, str(tmp_path / "out"), lambda s: s, 2, spark)
-    assert n_files(tmp_path / "out/data") >= 5
-    found = read_dataset(spark, str(tmp_path / "out"))
-    assert found.rdd.getNumPartitions() >= 7 and sorted((r.subject_id, r.code) for r in found.collect()) == sorted((r["subject_id"], r["code"]) for r in ROWS)
